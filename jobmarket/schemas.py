@@ -6,7 +6,12 @@ from pyspark.sql import types as T
 
 
 def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """Schema from ``name type`` pairs; works before any session exists."""
+    schema = T.StructType()
+    for pair in spec.replace("decimal(18,2)", "money").split(","):
+        name, kind = pair.split()
+        schema.add(name, T.DecimalType(18, 2) if kind == "money" else kind)
+    return schema
 
 
 RAW_COLUMNS = (
@@ -61,7 +66,7 @@ LOCATION_LOOKUP = _struct("kind string, key string, location string, region stri
 PSGC = _struct("code string, description string")
 SEEN = _struct("job_url string")
 LISTING = _struct(
-    "page bigint, pos int, job_title string, salary_text string, employer string,"
+    "page long, pos integer, job_title string, salary_text string, employer string,"
     " location string, education_requirement string, employment_type string,"
     " date_posted string, job_url string, raw_row_text string"
 )
