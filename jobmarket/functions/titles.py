@@ -163,7 +163,7 @@ def fuzzy_matcher(taxonomy: Taxonomy, cutoff: float = SCORE_CUTOFF):
         rows = [results[c] for c in codes]
         return pd.DataFrame(rows, columns=["category", "score"]).astype({"score": "Int32"})
 
-    return match
+    return match.asNondeterministic()  # keeps filters from duplicating or splitting the scoring
 
 
 def standardize_titles(
