@@ -38,27 +38,31 @@ def clean_title(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(text, "[^a-z0-9]+", " "))
 
 
-def _ngrams(cleaned: Column, longest: int) -> Column:
-    words = F.split(cleaned, " ")
-    count = F.size(words)
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    def from_position(i: Column) -> Column:
-        sizes = F.sequence(F.lit(1), F.least(F.lit(longest), count - i + 1))
-        return F.transform(sizes, lambda k: F.array_join(F.slice(words, i, k), " "))
 
-    return F.flatten(F.transform(F.sequence(F.lit(1), count), from_position))
+def exact_rank(words: str, tokens: str, taxonomy: Taxonomy = DEFAULT_TAXONOMY) -> Column:
+    """Priority of the first category whose phrase occurs in column ``words``, or null.
 
-
-def exact_rank(cleaned: Column, taxonomy: Taxonomy = DEFAULT_TAXONOMY) -> Column:
-    """Priority of the first category whose phrase occurs in the title, or null."""
-    phrases = list(taxonomy.exact)
-    rank_of = F.create_map(
-        *[F.lit(x) for phrase, rank in taxonomy.exact.items() for x in (phrase, rank)]
+    ``tokens`` is the column of its single words.  N-grams beginning with the first
+    word of some phrase are probed against one hash set.  The phrase list is stated
+    as SQL text: one call instead of one per phrase.
+    """
+    known = ", ".join(map(_sql_text, taxonomy.exact))
+    ranks = ", ".join(f"{_sql_text(p)}, {rank}" for p, rank in taxonomy.exact.items())
+    openers = ", ".join(_sql_text(w) for w in sorted({p.split()[0] for p in taxonomy.exact}))
+    starts = f"filter(sequence(1, size({tokens})), i -> element_at({tokens}, i) IN ({openers}))"
+    grams = (
+        f"flatten(transform({starts}, i -> transform("
+        f"sequence(1, least({taxonomy.longest}, size({tokens}) - i + 1)), "
+        f"n -> array_join(slice({tokens}, i, n), ' '))))"
     )
-    hits = F.filter(_ngrams(cleaned, taxonomy.longest), lambda g: g.isin(phrases))
-    rank = F.array_min(F.transform(hits, lambda g: F.element_at(rank_of, g)))
+    hits = f"filter({grams}, g -> g IN ({known}))"
+    rank = F.expr(f"array_min(transform({hits}, g -> element_at(map({ranks}), g)))")
     by_prefix = [
-        F.when(cleaned.rlike(r"\b" + re.escape(prefix)), F.lit(r)) for prefix, r in taxonomy.prefixes
+        F.when(F.col(words).rlike(r"\b" + re.escape(prefix)), F.lit(r))
+        for prefix, r in taxonomy.prefixes
     ]
     return F.least(rank, *by_prefix) if by_prefix else rank
 
@@ -172,7 +176,8 @@ def standardize_titles(
     """Replace ``column`` by its stripped text; add career_category, title_match_method."""
     df = df.withColumn(column, strip(F.coalesce(F.col(column), F.lit(""))))
     df = df.withColumn("_words", clean_title(column))
-    df = df.withColumn("_rank", exact_rank(F.col("_words"), taxonomy))
+    df = df.withColumn("_tokens", F.split("_words", " "))
+    df = df.withColumn("_rank", exact_rank("_words", "_tokens", taxonomy))
     open_title = F.when(F.col("_rank").isNull() & (F.col("_words") != ""), F.col("_words"))
     df = df.withColumn("_fuzzy", fuzzy_matcher(taxonomy)(open_title))
     names = F.array(*[F.lit(c) for c in taxonomy.categories])
@@ -186,7 +191,7 @@ def standardize_titles(
                 F.concat(F.lit("fuzzy("), F.col("_fuzzy.score").cast("string"), F.lit(")")),
             ),
         }
-    ).drop("_words", "_rank", "_fuzzy")
+    ).drop("_words", "_tokens", "_rank", "_fuzzy")
 
 
 def uncategorized_titles(clean: DataFrame) -> DataFrame:

@@ -24,7 +24,9 @@ def clean_records(
     Titles, salaries and keys are computed in place; only the location lookup joins.
     Dates and times stay text here, see :func:`prepare`.
     """
-    df = raw.withColumn(
+    # the join comes first, while rows are at their narrowest
+    df = standardize_locations(raw, lookup, "location", location_dim)
+    df = df.withColumn(
         "company", X.first_employer("company", "employer", "organization", "employer_name")
     ).withColumns(
         {
@@ -38,7 +40,6 @@ def clean_records(
         "salary_text", "salary", "employer", "organization", "employer_name", "raw_row_text",
         "source_url",
     )
-    df = standardize_locations(df, lookup, "location", location_dim)
     return df.withColumn(
         "dedup_key", X.dedup_key("job_url", "career_category", "company", "location")
     )

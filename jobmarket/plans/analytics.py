@@ -148,12 +148,15 @@ def get_salary_distribution(jobs: DataFrame, filters: Filters = NO_FILTERS) -> D
 
 def get_salary_statistics(parsed: DataFrame) -> DataFrame:
     """Older statistics over the minimum and maximum columns before they are merged."""
-    return parsed.where(F.col("salary_disclosed") & F.col("salary_min").isNotNull()).agg(
-        F.count("*").alias("jobs_with_salary"),
-        F.avg("salary_min").alias("average_salary_min"),
-        F.avg("salary_max").alias("average_salary_max"),
-        F.min("salary_min").alias("lowest_salary_min"),
-        F.max("salary_max").alias("highest_salary_max"),
+    # no filter: pushed below the parsing steps it would repeat all of them
+    shown = F.col("salary_disclosed") & F.col("salary_min").isNotNull()
+    low, high = F.when(shown, F.col("salary_min")), F.when(shown, F.col("salary_max"))
+    return parsed.agg(
+        F.count_if(shown).alias("jobs_with_salary"),
+        F.avg(low).alias("average_salary_min"),
+        F.avg(high).alias("average_salary_max"),
+        F.min(low).alias("lowest_salary_min"),
+        F.max(high).alias("highest_salary_max"),
     )
 
 
