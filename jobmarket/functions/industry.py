@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +26,9 @@ def derived_industry(
     text = F.lower(
         F.concat_ws(" ", F.coalesce(c(title), F.lit("")), F.coalesce(c(description), F.lit("")))
     )
+    # plain substring searches scan long descriptions faster than a regular expression
     groups = [
-        F.when(text.rlike("|".join(re.escape(k) for k in keywords)), F.lit(name))
+        F.when(reduce(Column.__or__, [text.contains(k) for k in keywords]), F.lit(name))
         for name, keywords in rules
     ]
     return F.coalesce(F.nullif(F.trim(c(industry)), F.lit("")), *groups, F.lit(OTHER_INDUSTRY))

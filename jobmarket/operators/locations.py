@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from jobmarket.functions.text import normalize_key, squeeze, strip, title_case
 from jobmarket.rules import places as P
+from jobmarket.sources.staging import staged
 
 REMOTE_WORDING = r"(?iU)\b(?:remote|work from home|wfh|home[- ]based)\b"
 
@@ -280,13 +281,15 @@ def standardize_locations(
 ) -> DataFrame:
     """Replace ``column`` by the standard location and add ``region``.
 
-    ``dimension`` is the (usually stored) result of :func:`location_dimension`.  The
-    join carries no hint: a small dimension is broadcast from its known size, a large
-    one is merged, where adaptive execution splits the partitions of popular places.
-    Blank texts are spread over keys that match nothing instead of meeting in one.
+    ``dimension`` is a stored result of :func:`location_dimension`; without one it is
+    computed and stored first, so that its size is known when the join is planned.
+    The join carries no hint: a small dimension is broadcast and the postings stay
+    where they are; a large one is merged, where adaptive execution splits the
+    partitions of popular places.  Blank texts are spread over keys that match
+    nothing instead of meeting in one.
     """
     if dimension is None:
-        dimension = location_dimension(df, lookup, column)
+        dimension = staged(location_dimension(df, lookup, column), "locations")
     dimension = dimension.select(
         "raw_location", F.col("location").alias("_location"), F.col("region").alias("_region")
     )

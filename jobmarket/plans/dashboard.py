@@ -22,6 +22,7 @@ from jobmarket.plans.analytics import (
 )
 from jobmarket.plans.filters import NO_FILTERS, Filters, has_salary
 from jobmarket.rules.taxonomy import UNCATEGORIZED
+from jobmarket.sources.staging import staged
 
 CUBE_FACETS = {
     "career_category": "career_category",
@@ -86,8 +87,8 @@ def _summary(cube: DataFrame) -> DataFrame:
 def dashboard(
     jobs: DataFrame, filters: Filters = NO_FILTERS, limit: int = 10, cube: DataFrame | None = None
 ) -> dict[str, DataFrame]:
-    """All panels; pass a persisted or stored ``cube`` to share its scan."""
-    cube = panel_cube(jobs, filters) if cube is None else cube
+    """All panels.  The cube is stored once in the shared folder unless you pass your own."""
+    cube = staged(panel_cube(jobs, filters), "cube") if cube is None else cube
     paid = cube.where((F.col("facet") == "career_category") & (F.col("salary_count") > 0)).select(
         label("value", UNCATEGORIZED).alias("career_category"),
         "salary_min",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,13 +9,12 @@ from pyspark.sql import functions as F
 
 from jobmarket.operators import collect as C
 from jobmarket.operators.dedup import keep_first
-from jobmarket.operators.locations import location_dimension
 from jobmarket.operators.quality import quality_report
 from jobmarket.operators.standardize import clean_records, prepare
 from jobmarket.operators.upsert import import_statistics, split_valid, upsert_jobs
 from jobmarket.rules.taxonomy import DEFAULT_TAXONOMY, Taxonomy
-from jobmarket.session import shared_dir
 from jobmarket.sources import readers, writers
+from jobmarket.sources.staging import staged
 
 
 @dataclass(frozen=True)
@@ -31,19 +29,6 @@ class State:
         raise AttributeError(name)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
-
-    Later steps then share one computation, know its true size (which is what lets
-    the planner broadcast a small table and not a large one) and survive lost
-    executors without recomputing it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staging/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def clean_and_report(
     raw: DataFrame,
     lookup: DataFrame,
@@ -51,8 +36,7 @@ def clean_and_report(
     taxonomy: Taxonomy = DEFAULT_TAXONOMY,
 ) -> tuple[DataFrame, DataFrame]:
     """(clean rows after dedup, quality report before dedup)."""
-    dimension = staged(location_dimension(raw, lookup), "locations")
-    standardized = staged(clean_records(raw, lookup, taxonomy, dimension), "standardized")
+    standardized = staged(clean_records(raw, lookup, taxonomy), "standardized")
     report = quality_report(standardized, order, F.current_timestamp())
     return prepare(keep_first(standardized, "dedup_key", order)), report
 

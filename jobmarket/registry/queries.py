@@ -11,13 +11,13 @@ import jobmarket as jm
 from jobmarket.functions import html as H
 from jobmarket.functions import salary as S
 from jobmarket.functions import text as X
-from jobmarket.functions.industry import derived_industry, with_industry
+from jobmarket.functions.industry import derived_industry
 from jobmarket.functions.titles import clean_title, standardize_titles, taxonomy_match, uncategorized_titles
 from jobmarket.operators.dedup import keep_first, keep_latest
 from jobmarket.operators.upsert import upsert_jobs
-from jobmarket.plans.run import staged
 from jobmarket.registry import tables as T
-from jobmarket.schemas import JOB_COLUMNS, JOB_KEY, JOBS
+from jobmarket.schemas import JOB_KEY, JOBS
+from jobmarket.sources.staging import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}

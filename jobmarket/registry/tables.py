@@ -7,181 +7,158 @@ handle.  ``registry/sql.py`` states the same tables in SQL.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import lru_cache
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+@lru_cache(maxsize=64)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _choose(number: Column, *choices: Column | str | None, default: Column | None = None) -> Column:
-    """The choice whose position equals ``number``; strings are literals."""
-    expr = default
-    for i, choice in reversed(list(enumerate(choices))):
-        value = choice if isinstance(choice, Column) else F.lit(choice).cast("string")
-        expr = F.when(number == i, value) if expr is None else F.when(number == i, value).otherwise(expr)
-    return expr
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread an input of fewer partitions than cores; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
-def _text(*parts: Column | str) -> Column:
-    return F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
+def _choose(number: str, *choices: str, default: str = "NULL") -> str:
+    """The choice whose position equals ``number``."""
+    branches = " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(choices))
+    return f"CASE {number} {branches} ELSE {default} END"
 
 
+@lru_cache(maxsize=8)
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     parts = part.agg(F.count("*")).scalar()
     return (
-        table(spark, sf_dir, "orders")
+        spread(table(spark, sf_dir, "orders"), "o_orderkey")
         .withColumn("p_partkey", F.col("o_orderkey") % parts)
         .join(part, "p_partkey")
         .join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
         .join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
         .join(table(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
-        .withColumns(
-            {
-                "k": F.col("o_orderkey"),
-                "whole": F.floor("o_totalprice").cast("bigint"),
-                "town": _text("Town ", F.col("o_orderkey") % 60),
-            }
+        .selectExpr(
+            "*",
+            "o_orderkey AS k",
+            "CAST(floor(o_totalprice) AS BIGINT) AS whole",
+            "'Town ' || (o_orderkey % 60) AS town",
         )
     )
 
 
-def _title() -> Column:
-    name = F.col("p_name")
-    return _choose(
-        F.col("k") % 16,
-        name,
-        "Senior Data Analyst",
-        _text("SALES ASSOCIATE - ", name),
-        _text("Software Engineer (", name, ")"),
-        "Jr. Accountant",
-        _text("Help Desk / ", name),
-        "Store Manager & Cashier",
-        _text("nurse ", name),
-        " Warehouse helper ",
-        " ",
-        None,
-        _text("Agriculturist ", name),
-        "Production Machine Operator",
-        _text("Teacher, ", name),
-        "principal",
-        F.upper(name),
-    )
-
-
-def _salary_text() -> Column:
-    n = F.col("whole")
-
-    def over(divisor: int) -> Column:
-        return F.floor(n / divisor).cast("bigint")
-
-    grouped = _text(over(1000), ",", F.lpad((n % 1000).cast("string"), 3, "0"))
-    return _choose(
-        F.col("k") % 12,
-        "Salary not specified",
-        _text("P", over(500)),
-        over(100).cast("string"),
-        _text("P", grouped, "/year"),
-        _text(over(10000) + 1, "k monthly"),
-        _text("P", over(20), " - P", over(10)),
-        _text(over(5000) + 1, "-", over(2500) + 2, "k"),
-        "0",
-        _text("USD ", over(1000) + 1, " per week"),
-        _text(over(100), " to ", over(50), " + 13th month pay"),
-        "Competitive salary",
-        None,
-    )
-
-
-def _location() -> Column:
-    town, nation = F.col("town"), F.col("n_name")
-    return _choose(
-        F.col("k") % 12,
-        _text("City Of ", town, ", ", nation),
-        town,
-        nation,
-        _text("Barangay 5, ", town, " City, ", nation),
-        _text("City Of ", nation, ", Ncr, Fourth District"),
-        "Work from home",
-        "EUROPE",
-        "taiwan, r.o.c.",
-        _text("Nowhere ", F.col("k") % 7),
-        "",
-        None,
-        F.upper(_text(town, " (capital), ", nation)),
-    )
+TITLE = _choose(
+    "k % 16",
+    "p_name",
+    "'Senior Data Analyst'",
+    "'SALES ASSOCIATE - ' || p_name",
+    "'Software Engineer (' || p_name || ')'",
+    "'Jr. Accountant'",
+    "'Help Desk / ' || p_name",
+    "'Store Manager & Cashier'",
+    "'nurse ' || p_name",
+    "' Warehouse helper '",
+    "' '",
+    "NULL",
+    "'Agriculturist ' || p_name",
+    "'Production Machine Operator'",
+    "'Teacher, ' || p_name",
+    "'principal'",
+    "upper(p_name)",
+)
+
+SALARY_TEXT = _choose(
+    "k % 12",
+    "'Salary not specified'",
+    "'P' || (whole div 500)",
+    "string(whole div 100)",
+    "'P' || (whole div 1000) || ',' || lpad(string(whole % 1000), 3, '0') || '/year'",
+    "(whole div 10000 + 1) || 'k monthly'",
+    "'P' || (whole div 20) || ' - P' || (whole div 10)",
+    "(whole div 5000 + 1) || '-' || (whole div 2500 + 2) || 'k'",
+    "'0'",
+    "'USD ' || (whole div 1000 + 1) || ' per week'",
+    "(whole div 100) || ' to ' || (whole div 50) || ' + 13th month pay'",
+    "'Competitive salary'",
+)
+
+LOCATION = _choose(
+    "k % 12",
+    "'City Of ' || town || ', ' || n_name",
+    "town",
+    "n_name",
+    "'Barangay 5, ' || town || ' City, ' || n_name",
+    "'City Of ' || n_name || ', Ncr, Fourth District'",
+    "'Work from home'",
+    "'EUROPE'",
+    "'taiwan, r.o.c.'",
+    "'Nowhere ' || (k % 7)",
+    "''",
+    "NULL",
+    "upper(town || ' (capital), ' || n_name)",
+)
 
 
 def raw_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings as collectors deliver them, with ``posting_id`` as load order."""
-    k = F.col("k")
-    return _orders(spark, sf_dir).select(
-        k.alias("posting_id"),
-        _title().alias("job_title"),
-        _salary_text().alias("salary_text"),
-        F.when(k % 12 == 11, "900").alias("salary"),
-        F.when(k % 23 == 0, "  ").when(k % 23 == 1, "").alias("company"),
-        F.when(k % 29 != 0, F.col("c_name")).otherwise("").alias("employer"),
-        F.when(k % 31 != 0, F.concat(F.col("c_name"), F.lit(" Group"))).alias("organization"),
-        F.lit(None).cast("string").alias("employer_name"),
-        _location().alias("location"),
-        F.col("o_orderpriority").alias("employment_type"),
-        F.when(k % 9 == 0, "Educ level not specified").otherwise(F.col("p_type")).alias(
-            "education_requirement"
-        ),
-        F.date_format("o_orderdate", "M/d/yyyy").alias("date_posted"),
-        F.lit(None).cast("string").alias("industry"),
-        F.lit(None).cast("string").alias("description"),
-        F.when(k % 10 == 0, "")
-        .otherwise(_text("https://jobs.example.com/", F.floor(k / 3), F.when(k % 3 == 0, "/?utm=1#t").otherwise("")))
-        .alias("job_url"),
-        F.lit("orders").alias("source"),
-        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("collected_at"),
-    )
+    columns = {
+        "posting_id": "k",
+        "job_title": TITLE,
+        "salary_text": SALARY_TEXT,
+        "salary": "CASE WHEN k % 12 = 11 THEN '900' END",
+        "company": "CASE WHEN k % 23 = 0 THEN '  ' WHEN k % 23 = 1 THEN '' END",
+        "employer": "CASE WHEN k % 29 <> 0 THEN c_name ELSE '' END",
+        "organization": "CASE WHEN k % 31 <> 0 THEN c_name || ' Group' END",
+        "employer_name": "CAST(NULL AS STRING)",
+        "location": LOCATION,
+        "employment_type": "o_orderpriority",
+        "education_requirement": "CASE WHEN k % 9 = 0 THEN 'Educ level not specified' ELSE p_type END",
+        "date_posted": "date_format(o_orderdate, 'M/d/yyyy')",
+        "industry": "CAST(NULL AS STRING)",
+        "description": "CAST(NULL AS STRING)",
+        "job_url": "CASE WHEN k % 10 = 0 THEN '' ELSE 'https://jobs.example.com/' || (k div 3)"
+        " || CASE WHEN k % 3 = 0 THEN '/?utm=1#t' ELSE '' END END",
+        "source": "'orders'",
+        "collected_at": "date_format(o_orderdate, \"yyyy-MM-dd'T'HH:mm:ss'+00:00'\")",
+    }
+    return _orders(spark, sf_dir).selectExpr(*[f"{e} AS {n}" for n, e in columns.items()])
 
 
 def jobs_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings as the jobs table holds them, with blanks and nulls in every label."""
-    k = F.col("k")
-    quarter = (F.floor(F.col("o_totalprice") * 4).cast("decimal(18,2)") / 4).cast("decimal(18,2)")
-    shown = k % 4 != 0
-    monthly = (F.floor(F.col("o_totalprice") / 9) * F.when(k % 7 == 0, 3).otherwise(1)).cast("decimal(18,2)")
-    return _orders(spark, sf_dir).select(
-        (k + 1).alias("id"),
-        _title().alias("job_title"),
-        _choose(k % 37, None, "", " ", default=F.col("c_mktsegment")).alias("career_category"),
-        F.lit("exact").alias("title_match_method"),
-        _choose(k % 41, "", None, default=F.col("c_name")).alias("company"),
-        _choose(k % 43, None, " ", default=F.col("n_name")).alias("location"),
-        _choose(k % 47, None, default=F.col("r_name")).alias("region"),
-        F.when(shown, quarter).alias("salary_amount"),
-        _choose(k % 6, "monthly", "", default=F.lit(None).cast("string")).alias("salary_period"),
-        F.lit(None).cast("string").alias("salary_period_inferred"),
-        F.when(shown & (k % 11 != 0), monthly).alias("salary_amount_monthly"),
-        F.when(k % 11 != 0, _choose(k % 5, "daily", "weekly", "hourly", "monthly", "annual")).alias(
-            "salary_period_used"
-        ),
-        (k % 3 == 0).alias("salary_period_estimated"),
-        shown.alias("salary_disclosed"),
-        F.when(shown, "PHP").alias("currency"),
-        F.to_date("o_orderdate").alias("date_posted"),
-        F.when(F.col("o_orderpriority") != "4-NOT SPECIFIED", F.col("o_orderpriority")).alias(
-            "employment_type"
-        ),
-        F.col("p_type").alias("education_requirement"),
-        _choose(k % 5, _text("Trade ", F.col("c_mktsegment")), "", default=F.lit(None).cast("string")).alias(
-            "industry"
-        ),
-        _choose(
-            k % 3, _text("We need a driver for ", F.col("p_name")), F.col("p_type"),
-            default=F.lit(None).cast("string"),
-        ).alias("description"),
-        F.lit("orders").alias("source"),
-        _text("https://jobs.example.com/", k).alias("job_url"),
-        F.col("o_orderdate").alias("collected_at"),
-    )
+    shown, period = "k % 4 <> 0", "k % 11 <> 0"
+    columns = {
+        "id": "k + 1",
+        "job_title": TITLE,
+        "career_category": _choose("k % 37", "NULL", "''", "' '", default="c_mktsegment"),
+        "title_match_method": "'exact'",
+        "company": _choose("k % 41", "''", "NULL", default="c_name"),
+        "location": _choose("k % 43", "NULL", "' '", default="n_name"),
+        "region": _choose("k % 47", "NULL", default="r_name"),
+        "salary_amount": f"CASE WHEN {shown} THEN CAST(floor(o_totalprice * 4) / 4 AS DECIMAL(18,2)) END",
+        "salary_period": _choose("k % 6", "'monthly'", "''"),
+        "salary_period_inferred": "CAST(NULL AS STRING)",
+        "salary_amount_monthly": f"CASE WHEN {shown} AND {period} THEN CAST(floor(o_totalprice / 9) * "
+        "CASE WHEN k % 7 = 0 THEN 3 ELSE 1 END AS DECIMAL(18,2)) END",
+        "salary_period_used": f"CASE WHEN {period} THEN "
+        + _choose("k % 5", "'daily'", "'weekly'", "'hourly'", "'monthly'", "'annual'")
+        + " END",
+        "salary_period_estimated": "k % 3 = 0",
+        "salary_disclosed": shown,
+        "currency": f"CASE WHEN {shown} THEN 'PHP' END",
+        "date_posted": "to_date(o_orderdate)",
+        "employment_type": "CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN o_orderpriority END",
+        "education_requirement": "p_type",
+        "industry": _choose("k % 5", "'Trade ' || c_mktsegment", "''"),
+        "description": _choose("k % 3", "'We need a driver for ' || p_name", "p_type"),
+        "source": "'orders'",
+        "job_url": "'https://jobs.example.com/' || k",
+        "collected_at": "o_orderdate",
+    }
+    return _orders(spark, sf_dir).selectExpr(*[f"{e} AS {n}" for n, e in columns.items()])
 
 
 def repeat_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,42 +182,32 @@ def place_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     nation = table(spark, sf_dir, "nation")
     supplier = table(spark, sf_dir, "supplier")
 
-    def padded(c: Column, width: int) -> Column:
-        return F.lpad(c.cast("string"), width, "0")
-
-    regions = region.select(
-        _text(F.col("r_regionkey") + 10, "0000000").alias("code"),
-        F.col("r_name").alias("description"),
-        F.col("r_regionkey").cast("bigint").alias("ord"),
+    nation_code = "(10 + n_regionkey) || lpad(string(n_nationkey), 2, '0')"
+    regions = region.selectExpr(
+        "(10 + r_regionkey) || '0000000' AS code", "r_name AS description", "bigint(r_regionkey) AS ord"
     )
-    nation_code = _text(F.col("n_regionkey") + 10, padded(F.col("n_nationkey"), 2))
-    provinces = nation.select(
-        F.concat(nation_code, F.lit("00000")).alias("code"),
-        F.when(F.col("n_regionkey") == 3, _text("City of ", F.col("n_name")))
-        .otherwise(F.col("n_name"))
-        .alias("description"),
-        F.col("n_nationkey").cast("bigint").alias("ord"),
+    provinces = nation.selectExpr(
+        f"{nation_code} || '00000' AS code",
+        "CASE WHEN n_regionkey = 3 THEN 'City of ' || n_name ELSE n_name END AS description",
+        "bigint(n_nationkey) AS ord",
     )
-    s = F.col("s_suppkey")
-    town = _text("Town ", s % 50)
-    municipalities = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
-        F.concat(
-            F.when(s % 17 == 0, "9999").otherwise(nation_code), padded(s % 100000, 5)
-        ).alias("code"),
-        F.when(s % 13 == 5, _text("NATION_", s % 25))
-        .otherwise(_choose(s % 4, _text("City Of ", town), _text(town, " (Capital)"), _text(town, " City"), town))
-        .alias("description"),
-        s.alias("ord"),
+    town = "'Town ' || (s_suppkey % 50)"
+    name = _choose("s_suppkey % 4", f"'City Of ' || {town}", f"{town} || ' (Capital)'", f"{town} || ' City'", town)
+    municipalities = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).selectExpr(
+        f"CASE WHEN s_suppkey % 17 = 0 THEN '9999' ELSE {nation_code} END"
+        " || lpad(string(s_suppkey % 100000), 5, '0') AS code",
+        f"CASE WHEN s_suppkey % 13 = 5 THEN 'NATION_' || (s_suppkey % 25) ELSE {name} END AS description",
+        "s_suppkey AS ord",
     )
     return regions, provinces, municipalities
 
 
 def crawl_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(listings, seen): fifty events are one listing page, error events are history."""
-    events = table(spark, sf_dir, "events").select(
-        F.floor(F.col("event_id") / 50).cast("bigint").alias("page"),
-        (F.col("event_id") % 50).cast("int").alias("pos"),
-        _text("https://jobs.example.com/", F.col("user_id"), "/", F.col("event_type")).alias("job_url"),
+    events = table(spark, sf_dir, "events").selectExpr(
+        "event_id div 50 AS page",
+        "int(event_id % 50) AS pos",
+        "'https://jobs.example.com/' || user_id || '/' || event_type AS job_url",
         "event_type",
     )
     seen = events.where("event_type = 'error'").select("job_url").distinct()

@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # call-site capture costs several round trips per column function
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
