@@ -25,4 +25,5 @@ from jobmarket.plans.explorer import (
 from jobmarket.plans.filters import Filters, JobFilters
 from jobmarket.plans.run import State, run_clean, run_collection, run_import
 from jobmarket.rules.taxonomy import build_taxonomy
+from jobmarket import schemas
 from jobmarket.session import build_session

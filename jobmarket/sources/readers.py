@@ -20,7 +20,7 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     and ``ord`` give the load order.
     """
     files = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
-    starts_array = F.col("value").rlike(r"\A\x{FEFF}?\s*\[")
+    starts_array = F.col("value").rlike(r"\A\s*\[")
     records = F.from_json("value", T.ArrayType(RAW), {"mode": "PERMISSIVE"})
     return (
         files.select("value", F.col("_metadata.file_name").alias("file_name"))
