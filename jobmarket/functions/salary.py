@@ -21,12 +21,13 @@ def salary_source(df: DataFrame) -> Column:
 
 
 def pay_period(text: Column) -> Column:
+    """Stated pay period; one cheap test spares bare figures the word searches."""
     lowered = F.lower(text)
     branches = []
     for period, words, parts in R.PERIOD_WORDS:
         pattern = r"(?U)\b(?:" + "|".join(words) + r")\b|" + "|".join(parts)
         branches.append(F.when(lowered.rlike(pattern), F.lit(period)))
-    return F.coalesce(*branches)
+    return F.when(lowered.rlike(R.PERIOD_HINT), F.coalesce(*branches))
 
 
 def currency_mark(text: Column) -> Column:
@@ -47,19 +48,22 @@ def parse_salary(
     """Add salary_min, salary_max, salary_period, salary_disclosed and currency."""
     span = rf"(?U){R.NUMBER}\s*(?:{R.RANGE_SEPARATOR})\s*{R.NUMBER}(?:\s*[kK])?"
     df = df.withColumn("_text", strip(text))
-    df = df.withColumn(
-        "_body",
-        F.when(
-            ~F.col("_text").rlike("(?iU)" + R.NOT_DISCLOSED),
-            F.regexp_replace("_text", "(?iU)" + R.BONUS_MENTION, " "),
-        ),
-    )
+    # a text without digits states no salary, whatever its wording
+    stated = F.col("_text").rlike("[0-9]") & ~F.col("_text").rlike("(?iU)" + R.NOT_DISCLOSED)
+    without_bonus = F.when(
+        F.lower("_text").contains("month"),
+        F.regexp_replace("_text", "(?iU)" + R.BONUS_MENTION, " "),
+    ).otherwise(F.col("_text"))
+    df = df.withColumn("_body", F.when(stated, without_bonus))
     df = df.withColumns(
         {
-            "_span": F.regexp_substr("_body", F.lit(span)),
+            "_found": F.when(
+                F.col("_body").rlike(R.RANGE_SEPARATOR), F.regexp_extract("_body", span, 0)
+            ),
             "_tokens": F.regexp_extract_all("_body", F.lit(R.NUMBER_TOKEN), F.lit(0)),
         }
     )
+    df = df.withColumn("_span", blank_to_null("_found"))
     ends = F.split(F.regexp_replace("_span", r"(?U)[\s,kK]", ""), R.RANGE_SEPARATOR)
     shared_k = F.col("_span").rlike("[kK]$")
     first, second = F.get("_tokens", F.lit(0)), F.get("_tokens", F.lit(1))
@@ -85,7 +89,7 @@ def parse_salary(
                 shown, F.coalesce(currency_mark(F.col("_text")), F.lit(default_currency))
             ),
         }
-    ).drop("_text", "_body", "_span", "_tokens", "_a", "_b", "_low", "_high")
+    ).drop("_text", "_body", "_found", "_span", "_tokens", "_a", "_b", "_low", "_high")
 
 
 def midpoint(low: Column, high: Column) -> Column:

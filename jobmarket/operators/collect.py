@@ -6,14 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobmarket.functions.text import blank_to_null
+from jobmarket.operators.skew import lookup_join
 from jobmarket.schemas import RAW
 
 
+def _without(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Anti join of unique ``known`` keys that keeps repeated keys spread out."""
+    marked = lookup_join(rows, known.withColumn("_known", F.lit(True)), key)
+    return marked.where("_known is null").drop("_known")
+
+
 def only_unseen(listings: DataFrame, seen: DataFrame, url: str = "job_url") -> DataFrame:
     """Listings with an address that history does not hold; repeats survive."""
-    history = seen.select(F.col(url).alias("_seen")).distinct()
     filled = listings.where(F.coalesce(F.col(url), F.lit("")) != "")
-    return filled.join(history, F.col(url) == F.col("_seen"), "left_anti")
+    history = seen.select(F.col("job_url").alias(url)).distinct()
+    return _without(filled, history, url)
 
 
 def crawl_stop(
@@ -34,7 +41,7 @@ def crawl_stop(
     fresh = pairs.groupBy("url").agg(F.min("page").alias("page")).select("page").distinct()
     stalled = with_urls.join(fresh, "page", "left_anti")
     history = seen.select(F.col("job_url").alias("url")).distinct()
-    unknown = pairs.join(history, "url", "left_anti").select("page").distinct()
+    unknown = _without(pairs, history, "url").select("page").distinct()
     # with no history at all the last test is off
     known_only = listed.join(unknown, "page", "left_anti").where(history.exists())
     stops = stalled.unionByName(known_only)
@@ -93,10 +100,10 @@ def page_statistics(
 
 
 def merge_details(listings: DataFrame, details: DataFrame, url: str = "job_url") -> DataFrame:
-    """Detail fields replace listing fields only where they are non-empty."""
+    """Detail fields (one row per address) replace listing fields where they are non-empty."""
     fields = [c for c in details.columns if c != url]
     renamed = details.select(url, *[F.col(c).alias(f"_d_{c}") for c in fields])
-    joined = listings.join(renamed, url, "left")
+    joined = lookup_join(listings, renamed, url)
     merged = {
         c: F.coalesce(blank_to_null(f"_d_{c}"), F.col(c) if c in listings.columns else F.lit(None))
         for c in fields

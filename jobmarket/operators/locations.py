@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobmarket.functions.text import normalize_key, squeeze, strip, title_case
+from jobmarket.operators.skew import hot_keys, lookup_join
 from jobmarket.rules import places as P
 from jobmarket.sources.staging import staged
 
@@ -235,12 +236,13 @@ def _direct_location(raw: Column, key: Column, cleaned: Column) -> Column:
 
 
 def location_dimension(raw_locations: DataFrame, lookup: DataFrame, column: str = "location") -> DataFrame:
-    """One row per distinct raw text: ``(raw_location, location, region)``.
+    """One row per distinct raw text: ``(raw_location, location, region, postings)``.
 
     Distinct values are formed before anything else, so popular places collapse in
     the map tasks and each text is resolved once.
     """
-    texts = raw_locations.select(strip(column).alias("raw_location")).where("raw_location <> ''").distinct()
+    filled = raw_locations.select(strip(column).alias("raw_location")).where("raw_location <> ''")
+    texts = filled.groupBy("raw_location").agg(F.count("*").alias("postings"))
     texts = texts.withColumns(
         {"_key": normalize_key("raw_location"), "_cleaned": clean_location("raw_location")}
     )
@@ -251,8 +253,9 @@ def location_dimension(raw_locations: DataFrame, lookup: DataFrame, column: str
     texts = texts.withColumn("_parts", F.filter(names, lambda p: p != ""))
     tries = F.when(F.col("_direct").isNull(), _probes(F.col("_parts"), normalize_key("_cleaned")))
     probed = texts.select(
-        "raw_location", "_direct", "_cleaned", F.posexplode_outer(tries).alias("_rank", "_try")
-    ).select("raw_location", "_direct", "_cleaned", "_rank", "_try.kind", "_try.key", "_try.shown")
+        "raw_location", "postings", "_direct", "_cleaned",
+        F.posexplode_outer(tries).alias("_rank", "_try"),
+    ).select("raw_location", "postings", "_direct", "_cleaned", "_rank", "_try.*")
     known = lookup.select("kind", "key", F.col("location").alias("_name"), "region")
     matched = probed.join(known.withColumn("_hit", F.lit(True)), ["kind", "key"], "left")
     found = F.struct(
@@ -260,6 +263,7 @@ def location_dimension(raw_locations: DataFrame, lookup: DataFrame, column: str
         F.when(F.col("kind") == "ambiguous", P.AMBIGUOUS).otherwise(F.col("region")).alias("region"),
     )
     best = matched.groupBy("raw_location").agg(
+        F.first("postings").alias("postings"),
         F.first("_direct").alias("_direct"),
         F.first("_cleaned").alias("_cleaned"),
         F.min_by(F.when(F.col("_hit"), found), F.when(F.col("_hit"), F.col("_rank"))).alias("_found"),
@@ -268,8 +272,8 @@ def location_dimension(raw_locations: DataFrame, lookup: DataFrame, column: str
         title_case("_cleaned").alias("location"), F.lit(None).cast("string").alias("region")
     )
     answer = F.coalesce("_direct", "_found", unmapped)
-    return best.select("raw_location", answer.alias("_a")).select(
-        "raw_location", F.col("_a.location").alias("location"), F.col("_a.region").alias("region")
+    return best.select("raw_location", "postings", answer.alias("_a")).select(
+        "raw_location", "_a.location", "_a.region", "postings"
     )
 
 
@@ -283,21 +287,17 @@ def standardize_locations(
 
     ``dimension`` is a stored result of :func:`location_dimension`; without one it is
     computed and stored first, so that its size is known when the join is planned.
-    The join carries no hint: a small dimension is broadcast and the postings stay
-    where they are; a large one is merged, where adaptive execution splits the
-    partitions of popular places.  Blank texts are spread over keys that match
-    nothing instead of meeting in one.
+    A small dimension is broadcast and the postings stay where they are; a large one
+    is merged, with popular places split off first (see :func:`lookup_join`).
     """
     if dimension is None:
         dimension = staged(location_dimension(df, lookup, column), "locations")
-    dimension = dimension.select(
+    popular = hot_keys(dimension, "raw_location", "postings")
+    names = dimension.select(
         "raw_location", F.col("location").alias("_location"), F.col("region").alias("_region")
     )
-    text = strip(column)
-    spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*df.columns), F.lit(4096)).cast("string"))
-    blank = F.coalesce(text, F.lit("")) == ""
-    keyed = df.withColumn("raw_location", F.when(blank, spread).otherwise(text))
-    joined = keyed.join(dimension, "raw_location", "left")
+    keyed = df.withColumn("raw_location", F.nullif(strip(column), F.lit("")))
+    joined = lookup_join(keyed, names, "raw_location", popular)
     return joined.withColumns(
         {column: F.coalesce("_location", F.lit(P.UNKNOWN)), "region": F.col("_region")}
     ).drop("raw_location", "_location", "_region")

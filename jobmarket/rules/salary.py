@@ -29,6 +29,9 @@ PERIOD_WORDS: tuple[tuple[str, tuple[str, ...], tuple[str, ...]], ...] = (
     ("monthly", ("month", "months", "mo", "monthly"), ("/mo", "/month", "per month")),
 )
 
+#: beginnings that every period wording above contains
+PERIOD_HINT = "y(?:ea)?r|ann|h(?:ou)?r|da|week|mo"
+
 # Currency marks in the order in which they are tried (text is upper case).
 CURRENCY_MARKS: tuple[tuple[str, str], ...] = (
     ("PHP", r"₱|PHP|\bP\s*[0-9,]"),

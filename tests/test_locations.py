@@ -55,7 +55,7 @@ def test_locations(spark, lookup):
 
 def test_dimension_has_one_row_per_text(spark, lookup):
     df = spark.createDataFrame([("Cebu",)] * 50 + [(" Cebu ",), (None,)], "location string")
-    assert [tuple(r) for r in location_dimension(df, lookup).collect()] == [("Cebu", "Cebu City", "Central Visayas")]
+    assert [tuple(r) for r in location_dimension(df, lookup).collect()] == [("Cebu", "Cebu City", "Central Visayas", 51)]
 
 
 def test_join_is_broadcast_and_python_free(spark, lookup):
