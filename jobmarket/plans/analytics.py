@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from jobmarket.functions.industry import DERIVED, with_industry
 from jobmarket.functions.salary import bucket_label, bucket_number
@@ -200,7 +199,7 @@ def disclosure_rate(summary: DataFrame) -> DataFrame:
 
 def employment_share(employment_types: DataFrame) -> DataFrame:
     """Counts with their total and share; the input has one row per employment type."""
-    whole = F.sum("job_count").over(Window.partitionBy())
+    whole = employment_types.agg(F.sum("job_count")).scalar()
     return employment_types.select(
         "employment_type", "job_count", whole.alias("total"), (F.col("job_count") / whole).alias("share")
     )

@@ -7,7 +7,6 @@ repeated batch harmless, so a restarted job neither loses nor doubles postings.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -40,7 +39,7 @@ def start_incremental_import(
     """Import everything landed since the last call, then stop."""
 
     def import_batch(batch: DataFrame, _: int) -> None:
-        keyed = clean_records(batch.where(F.col("job_title").isNotNull()), lookup, taxonomy)
+        keyed = clean_records(batch, lookup, taxonomy)
         run_import(prepare(keep_first(keyed, "dedup_key", LANDING_ORDER)), state)
 
     return (
