@@ -7,7 +7,7 @@ from jobmarket.rules.places import OVERSEAS_CONTINENTS, OVERSEAS_COUNTRIES
 from jobmarket.rules.taxonomy import DEFAULT_TAXONOMY
 
 ORDERS = """
-o AS (
+o AS MATERIALIZED (
   SELECT *, o_orderkey AS k, CAST(floor(o_totalprice) AS BIGINT) AS whole,
          'Town ' || (o_orderkey % 60) AS town
   FROM orders
