@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from jobmarket.llm.bpe import op7_bpe
 from jobmarket.llm.mixing import OP5_SQL, op5_mixing
 from jobmarket.llm.sharding import op10_sharding
 from jobmarket.llm.simhash import op1_simhash
@@ -9,6 +10,7 @@ from jobmarket.llm.simhash import op1_simhash
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op5_mixing": op5_mixing,
+    "op7_bpe": op7_bpe,
     "op10_sharding": op10_sharding,
 }
 SQL = {"op5_mixing": OP5_SQL}
