@@ -6,11 +6,13 @@ from jobmarket.llm.bpe import op7_bpe
 from jobmarket.llm.mixing import OP5_SQL, op5_mixing
 from jobmarket.llm.sharding import op10_sharding
 from jobmarket.llm.simhash import op1_simhash
+from jobmarket.llm.substrings import op9_substrings
 
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op5_mixing": op5_mixing,
     "op7_bpe": op7_bpe,
+    "op9_substrings": op9_substrings,
     "op10_sharding": op10_sharding,
 }
 SQL = {"op5_mixing": OP5_SQL}
