@@ -95,3 +95,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def range_cuts(df: DataFrame, key: str, parts: int) -> list:
+    """At most ``parts - 1`` values of ``key``, ascending, that split the rows about evenly; values that occur, never null."""
+    if parts < 2:
+        return []
+    shares = [i / parts for i in range(1, parts)]
+    return sorted(set(df.agg(F.percentile_approx(key, shares, 10 * parts).alias("c")).first()["c"] or []))
