@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from jobmarket.llm.bpe import op7_bpe
 from jobmarket.llm.mixing import OP5_SQL, op5_mixing
+from jobmarket.llm.multiindex import op3_multiindex
 from jobmarket.llm.orderhash import op4_orderhash
 from jobmarket.llm.sharding import op10_sharding
 from jobmarket.llm.simhash import op1_simhash
 from jobmarket.llm.substrings import op9_substrings
+from jobmarket.llm.toxicity import op2_toxicity
 from jobmarket.llm.warc import OP8_SQL, op8_warc
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_toxicity": op2_toxicity,
+    "op3_multiindex": op3_multiindex,
     "op4_orderhash": op4_orderhash,
     "op5_mixing": op5_mixing,
     "op7_bpe": op7_bpe,
