@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from jobmarket.llm.bpe import op7_bpe
+from jobmarket.llm.contexttree import op6_contexttree
 from jobmarket.llm.mixing import OP5_SQL, op5_mixing
 from jobmarket.llm.multiindex import op3_multiindex
 from jobmarket.llm.orderhash import op4_orderhash
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_multiindex": op3_multiindex,
     "op4_orderhash": op4_orderhash,
     "op5_mixing": op5_mixing,
+    "op6_contexttree": op6_contexttree,
     "op7_bpe": op7_bpe,
     "op8_warc": op8_warc,
     "op9_substrings": op9_substrings,
