@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from functools import wraps
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,6 +17,31 @@ from jobmarket.session import shared_dir
 BROADCAST_ROWS = 10_000
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the sources of this library to the executors, once per application; their Python workers import it."""
+    context = spark.sparkContext
+    if getattr(context, "_jobmarket_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="jobmarket-")) / "jobmarket.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._jobmarket_shipped = True
+
+
+def shipping(run):
+    """A query or stage whose first argument is the session, run after :func:`ship`."""
+
+    @wraps(run)
+    def shipped(spark: SparkSession, *args, **kwargs) -> DataFrame:
+        ship(spark)
+        return run(spark, *args, **kwargs)
+
+    return shipped
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from jobmarket.llm.bpe import op7_bpe
+from jobmarket.llm.common import shipping
 from jobmarket.llm.contexttree import op6_contexttree
 from jobmarket.llm.mixing import OP5_SQL, op5_mixing
 from jobmarket.llm.multiindex import op3_multiindex
@@ -13,7 +14,7 @@ from jobmarket.llm.substrings import op9_substrings
 from jobmarket.llm.toxicity import op2_toxicity
 from jobmarket.llm.warc import OP8_SQL, op8_warc
 
-QUERIES = {
+_OPERATORS = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
     "op3_multiindex": op3_multiindex,
@@ -25,4 +26,5 @@ QUERIES = {
     "op9_substrings": op9_substrings,
     "op10_sharding": op10_sharding,
 }
+QUERIES = {name: shipping(run) for name, run in _OPERATORS.items()}
 SQL = {"op5_mixing": OP5_SQL, "op8_warc": OP8_SQL}

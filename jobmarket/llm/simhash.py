@@ -212,10 +212,13 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
 
 
 def keep_one(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
-    """The document with the smallest doc_id of every component; rows without doc_id stay."""
+    """The document with the smallest doc_id of every component.
+
+    Repeated rows of a doc_id are one document and stay or go together; rows without doc_id stay.
+    """
     found = near_duplicates(docs, words, radius)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(gone, "doc_id", "left_anti")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
