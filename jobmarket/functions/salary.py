@@ -124,7 +124,8 @@ def monthly_equivalent(amount: Column, period: Column) -> Column:
 def normalize_salary(df: DataFrame) -> DataFrame:
     """Add amount, inferred and used period, estimate and outlier flags, monthly amount.
 
-    Money columns are decimals; a figure beyond ``decimal(18,2)`` becomes null.
+    Money columns are decimals.  A figure of 1e26 or more doesn't fit and is null while
+    ``salary_disclosed`` stays set; imports put such rows into the rejected table.
     """
     stated = blank_to_null("salary_period")
     df = df.withColumn("_amount", midpoint(F.col("salary_min"), F.col("salary_max")))

@@ -57,6 +57,7 @@ def collect_new(
 ) -> DataFrame:
     """Listings a crawl keeps: before the stop page, on the address's first page, unseen.
 
+    With ``max_pages`` the crawl ends after that page: later pages are left for the next run.
     Repeats of an address on its first page are all kept.  The join back runs on
     (address, page), so an address listed on very many pages is spread out.
     """
@@ -100,9 +101,14 @@ def page_statistics(
 
 
 def merge_details(listings: DataFrame, details: DataFrame, url: str = "job_url") -> DataFrame:
-    """Detail fields (one row per address) replace listing fields where they are non-empty."""
+    """Detail fields replace listing fields where they are non-empty.
+
+    An address with several detail rows uses one of them as a whole: the greatest by its columns in order.
+    """
     fields = [c for c in details.columns if c != url]
-    renamed = details.select(url, *[F.col(c).alias(f"_d_{c}") for c in fields])
+    # one row per address before the join, so repeated details multiply nothing
+    one = details.groupBy(url).agg(F.max(F.struct(*fields)).alias("_d"))
+    renamed = one.select(url, *[F.col(f"_d.{c}").alias(f"_d_{c}") for c in fields])
     joined = lookup_join(listings, renamed, url)
     merged = {
         c: F.coalesce(blank_to_null(f"_d_{c}"), F.col(c) if c in listings.columns else F.lit(None))

@@ -209,7 +209,7 @@ def _probes(parts: Column, key: Column) -> Column:
             _variants(head), lambda v: _probe("city_province", F.concat(v, F.lit("|"), second))
         ),
     ).otherwise(F.filter(F.array(_probe("city_province", head)), lambda _: F.lit(False)))
-    rest = F.slice(parts, 2, 1_000_000)
+    rest = F.slice(parts, F.lit(2), F.size(parts))
     return F.concat(
         with_province,
         city_only(head),

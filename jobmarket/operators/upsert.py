@@ -18,8 +18,9 @@ def check_columns(batch: DataFrame) -> None:
 
 
 def accepted_row() -> Column:
-    """Title and company are required."""
-    return F.col("job_title").isNotNull() & F.col("company").isNotNull()
+    """Title and company are required, and a disclosed amount must fit its column."""
+    fits = ~F.coalesce("salary_disclosed", F.lit(False)) | F.col("salary_amount").isNotNull()
+    return F.col("job_title").isNotNull() & F.col("company").isNotNull() & fits
 
 
 def split_valid(batch: DataFrame) -> tuple[DataFrame, DataFrame]:

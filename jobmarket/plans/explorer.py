@@ -45,13 +45,29 @@ def list_jobs(
     limit: int = DEFAULT_PAGE_SIZE,
     offset: int | None = None,
 ) -> DataFrame:
-    """Newest postings first; an explicit ``offset`` wins over ``page``."""
+    """Newest postings first; an explicit ``offset`` wins over ``page``.
+
+    A limit above :data:`LARGEST_PAGE` is lowered to it, and anything that is no number of at
+    least 1 means the default.  Use :func:`list_jobs_after` to go deep into a long list.
+    """
     size = safe_limit(limit)
     start = (safe_page(page) - 1) * size if offset is None else max(0, offset)
     wanted = filters.apply(jobs).select(*LISTING_COLUMNS)
     return wanted.orderBy(F.desc("id")).offset(start).limit(size)
 
 
+def list_jobs_after(
+    jobs: DataFrame, last_id: int | None = None, filters: JobFilters = JobFilters(), limit: int = DEFAULT_PAGE_SIZE
+) -> DataFrame:
+    """The page that follows the posting ``last_id`` (the first page without one), newest first.
+
+    Every page costs the same: no rows before it are sorted or skipped, and the filter on id
+    reaches the scan.
+    """
+    wanted = jobs if last_id is None else jobs.where(F.col("id") < last_id)
+    return filters.apply(wanted).select(*LISTING_COLUMNS).orderBy(F.desc("id")).limit(safe_limit(limit))
+
+
 def get_job_count(jobs: DataFrame, filters: JobFilters = JobFilters()) -> DataFrame:
     return filters.apply(jobs).agg(F.count("*").alias("count"))
 

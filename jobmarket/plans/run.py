@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +25,7 @@ class State:
     root: str
 
     def __getattr__(self, name: str) -> str:
-        if name in ("landing", "clean", "report", "uncategorized", "jobs", "seen", "rejected"):
+        if name in ("landing", "clean", "report", "uncategorized", "jobs", "seen", "rejected", "keys"):
             return f"{self.root}/{name}"
         raise AttributeError(name)
 
@@ -58,16 +59,19 @@ def run_clean(
     return stored
 
 
-def run_import(clean: DataFrame, state: State) -> DataFrame:
+def run_import(clean: DataFrame, state: State, run_id: str | None = None) -> DataFrame:
     """Upsert the clean table into the jobs snapshot; returns before, after, inserted.
 
-    Rows without title or company go to a side table instead of failing the import.
+    Rows without title or company, or with an amount too large to store, are added to the rejected
+    table under ``run`` instead of failing the import.  An import repeated with the same ``run_id``
+    replaces the rows it rejected before; without one every import has its own.
     """
+    run_id = run_id or f"import-{uuid.uuid4().hex}"
     spark = clean.sparkSession
     before = readers.read_jobs(spark, state.jobs)
     accepted, rejected = split_valid(clean)
     writers.write_jobs(upsert_jobs(before, accepted), state.jobs)
-    rejected.write.mode("overwrite").parquet(state.rejected)
+    rejected.write.mode("overwrite").parquet(f"{state.rejected}/run={run_id}")
     return import_statistics(before, readers.read_jobs(spark, state.jobs))
 
 
@@ -104,7 +108,7 @@ def run_collection(
     clean = run_clean(
         history if full_history else landed, lookup, state, readers.LANDING_ORDER, taxonomy, csv=False
     )
-    statistics = run_import(clean, state)
+    statistics = run_import(clean, state, run_ts)
     previous = seen if incremental else readers.read_seen(spark, state.seen).limit(0)
     writers.write_seen(C.union_seen(previous, landed), state.seen)
     return statistics

@@ -7,35 +7,26 @@ handle.  ``registry/sql.py`` states the same tables in SQL.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-@lru_cache(maxsize=64)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread an input of fewer partitions than cores; larger inputs stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def _choose(number: str, *choices: str, default: str = "NULL") -> str:
     """The choice whose position equals ``number``."""
     branches = " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(choices))
     return f"CASE {number} {branches} ELSE {default} END"
 
 
-@lru_cache(maxsize=8)
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     parts = part.agg(F.count("*")).scalar()
     return (
-        spread(table(spark, sf_dir, "orders"), "o_orderkey")
+        table(spark, sf_dir, "orders")
+        .repartition("o_orderkey")  # titles and salaries cost far more per row than this shuffle
         .withColumn("p_partkey", F.col("o_orderkey") % parts)
         .join(part, "p_partkey")
         .join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))

@@ -8,9 +8,9 @@ from pyspark.sql import types as T
 def _struct(spec: str) -> T.StructType:
     """Schema from ``name type`` pairs; works before any session exists."""
     schema = T.StructType()
-    for pair in spec.replace("decimal(18,2)", "money").split(","):
+    for pair in spec.replace("decimal(28,2)", "money").split(","):
         name, kind = pair.split()
-        schema.add(name, T.DecimalType(18, 2) if kind == "money" else kind)
+        schema.add(name, T.DecimalType(28, 2) if kind == "money" else kind)
     return schema
 
 
@@ -22,7 +22,8 @@ RAW_COLUMNS = (
 )
 RAW = T.StructType([T.StructField(c, T.StringType()) for c in RAW_COLUMNS])
 
-MONEY = "decimal(18,2)"
+#: sums of it still fit a decimal of 38 digits
+MONEY = "decimal(28,2)"
 
 CLEAN = _struct(
     f"""

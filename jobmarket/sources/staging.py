@@ -9,6 +9,14 @@ from pyspark.sql import DataFrame
 from jobmarket.session import shared_dir
 
 
+def removed(df: DataFrame) -> None:
+    """Delete the files behind a table made by :func:`staged` once its consumers are done."""
+    spark = df.sparkSession
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

@@ -67,8 +67,8 @@ def test_clean_import_and_repeat(spark, raw_folder, lookup, tmp_path):
     assert from_csv.count() == 5 and from_csv.exceptAll(clean.withColumn("job_title", F.nullif("job_title", F.lit("")))).count() <= 1
     assert spark.read.option("header", True).csv(state.uncategorized).count() == 1
 
-    assert tuple(jm.run_import(clean, state).first()) == (0, 4, 4)
-    assert tuple(jm.run_import(clean, state).first()) == (4, 4, 0)
+    assert tuple(jm.run_import(clean, state, "a").first()) == (0, 4, 4)
+    assert tuple(jm.run_import(clean, state, "a").first()) == (4, 4, 0)
     assert spark.read.parquet(state.rejected).count() == 1
     jobs = readers.read_jobs(spark, state.jobs)
     assert "industry_derived" in jobs.columns and sorted(r.id for r in jobs.collect()) == [1, 2, 3, 4]
@@ -125,6 +125,48 @@ def test_stream_import(spark, lookup, tmp_path):
     assert readers.read_jobs(spark, state.jobs).count() == 3
 
 
+def test_stream_does_not_depend_on_batches(spark, lookup, tmp_path):
+    """One address landed twice with another title, and rejected rows in two files: one file per batch or all at once."""
+    results = []
+    for files in (1, 1000):
+        state = jm.State(str(tmp_path / f"state{files}"))
+        for day, title in (("20260101", "Nurse"), ("20260102", "Staff Nurse")):
+            rows = [
+                (1, 0, title, "ACME", "https://x/1"), (1, 1, "Welder", "ACME", f"https://x/{title}"),
+                (1, 2, "Cook", None, f"https://x/cook/{day}"),
+            ]
+            df = spark.createDataFrame(rows, "page long, pos int, job_title string, company string, job_url string")
+            stamp = f"{day}T000000Z"
+            writers.land_raw(collect.with_provenance(df.coalesce(1), "portal", stamp), state.landing, stamp)
+        start_incremental_import(spark, state, lookup, str(tmp_path / f"check{files}"), files_per_batch=files).awaitTermination()
+        jobs = readers.read_jobs(spark, state.jobs).select("job_title", "company").collect()
+        rejected = spark.read.parquet(state.rejected).select("job_url").collect()
+        results.append((sorted(map(tuple, jobs)), sorted(map(tuple, rejected))))
+    assert results[0] == results[1]
+    assert [r[0].lower() for r in results[0][0]] == ["nurse", "welder"]
+    assert len(results[0][1]) == 2
+
+
+def test_repeated_import_replaces_its_rejects(spark, lookup, tmp_path):
+    state = jm.State(str(tmp_path / "state"))
+    df = spark.createDataFrame([("Cook", None, "u")], "job_title string, company string, job_url string")
+    raw = collect.with_provenance(df.withColumn("file_name", F.lit("f")).withColumn("ord", F.lit(0)), "p", "20260101T000000Z")
+    clean = jm.run_clean(raw, lookup, state, csv=False)
+    for run_id in ("a", "a", "b"):
+        jm.run_import(clean, state, run_id)
+    assert spark.read.parquet(state.rejected).count() == 2
+
+
+def test_amount_too_large_is_rejected(spark):
+    from jobmarket.functions.salary import normalize_salary, parse_salary
+    from jobmarket.operators.upsert import accepted_row
+
+    df = spark.createDataFrame([("9" * 20 + " monthly",), ("9" * 30 + " monthly",), ("100 monthly",)], "s string")
+    df = normalize_salary(parse_salary(df, F.col("s"))).withColumn("job_title", F.lit("t")).withColumn("company", F.lit("c"))
+    kept = {len(r.s): r.salary_amount for r in df.where(accepted_row()).collect()}
+    assert 28 in kept and kept[28] is not None and 38 not in kept
+
+
 def test_incomplete_version_is_ignored(spark, tmp_path):
     root = str(tmp_path / "t")
     assert latest_version(spark, root) is None
