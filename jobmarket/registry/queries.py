@@ -452,7 +452,7 @@ def title_rules(spark, sf):
 
 @query
 def title_fuzzy(spark, sf):
-    """Misspelled and shortened titles; scored, no SQL counterpart."""
+    """Misspelled and shortened titles, most of them scored."""
     misspelled = F.element_at(
         F.array(*[F.lit(t) for t in ("Accountnt", "Export/Import Officer", "Credit/Collection Specialist",
                                      "Operator", "Tax Specialist", "Softwre Enginer", "Salesladdy")]),

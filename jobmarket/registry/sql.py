@@ -228,6 +228,36 @@ def _titled(source: str) -> str:
     )
 
 
+def _fuzzy() -> str:
+    """Titles without a phrase, each held against the whole fuzzy vocabulary.
+
+    The score is stated on its own: word sets from string_split, and the longest common
+    subsequence by the textbook table, one row per letter.
+    """
+    vocabulary = ", ".join(
+        f"({i}, '{phrase}', '{DEFAULT_TAXONOMY.categories[rank]}')" for i, (phrase, rank) in enumerate(DEFAULT_TAXONOMY.fuzzy)
+    )
+    return f"""
+open_titles AS (SELECT DISTINCT words, list_distinct(string_split(words, ' ')) AS a FROM titled WHERE cat IS NULL AND words <> ''),
+vocabulary AS (SELECT i, category, list_distinct(string_split(phrase, ' ')) AS b FROM (VALUES {vocabulary}) AS v(i, phrase, category)),
+compared AS (SELECT words, i, category, list_filter(a, lambda x: list_contains(b, x)) AS shared,
+    array_to_string(list_sort(list_filter(a, lambda x: NOT list_contains(b, x))), ' ') AS left_over,
+    array_to_string(list_sort(list_filter(b, lambda x: NOT list_contains(a, x))), ' ') AS right_over
+  FROM open_titles CROSS JOIN vocabulary),
+measured AS (SELECT *, length(left_over) AS la, length(right_over) AS lb, (len(shared) > 0)::BIGINT AS gap,
+    coalesce(list_sum(list_transform(shared, lambda x: length(x))), 0)::BIGINT + greatest(len(shared) - 1, 0) AS width FROM compared),
+subset AS (SELECT *, 2 * (width + gap) + la + lb AS total, CASE WHEN gap = 1 AND least(la, lb) = 0 THEN 100::DOUBLE
+    WHEN gap = 1 THEN 100::DOUBLE - 100::DOUBLE * (1 + least(la, lb)) / (2 * width + 1 + least(la, lb)) ELSE 0 END AS part FROM measured),
+tabled AS (SELECT *, CASE WHEN part < 100 AND 100::DOUBLE - 100::DOUBLE * abs(la - lb) / total >= 83 THEN list_reduce(
+    list_transform(range(1, la + 1), lambda p: list_transform(range(1, lb + 1), lambda q: (left_over[p] = right_over[q])::BIGINT)),
+    lambda above, equal: list_transform(range(1, lb + 1), lambda q: list_max(list_transform(range(1, q + 1),
+      lambda k: greatest(above[k], coalesce(above[k - 1], 0) + equal[k]))::BIGINT[])::BIGINT),
+    list_transform(range(1, lb + 1), lambda q: 0::BIGINT))[lb] END AS common FROM subset),
+scored AS (SELECT words, i, category, greatest(part, coalesce(100::DOUBLE - 100::DOUBLE * (la + lb - 2 * common) / total, 0)) AS score FROM tabled),
+fuzzy AS (SELECT words, arg_min(category, i) AS category, any_value(score) AS score FROM (
+    SELECT *, max(score) OVER (PARTITION BY words) AS top FROM scored WHERE score >= 84) WHERE score = top GROUP BY words)"""
+
+
 # ----------------------------------------------------------------------- locations
 
 
@@ -566,6 +596,15 @@ def oracle_sql() -> dict[str, str]:
             POSTINGS + "," + _titled("postings"),
             "SELECT posting_id, job_title, career_category, title_match_method FROM titled",
         ),
+        "title_fuzzy": _with(
+            """misspelt AS (SELECT p_partkey, CASE WHEN p_type = 'ECONOMY' THEN m ELSE m || ' ' || p_name END AS job_title
+              FROM (SELECT *, ['Accountnt', 'Export/Import Officer', 'Credit/Collection Specialist', 'Operator', 'Tax Specialist',
+                'Softwre Enginer', 'Salesladdy'][p_size % 7 + 1] AS m FROM part)),"""
+            + _titled("misspelt") + "," + _fuzzy(),
+            """SELECT p_partkey, job_title, coalesce(cat, f.category, 'Uncategorized') AS career_category,
+              CASE WHEN cat IS NOT NULL THEN 'exact' WHEN f.words IS NOT NULL THEN 'fuzzy(' || floor(score)::INTEGER || ')' END
+                AS title_match_method FROM titled LEFT JOIN fuzzy f ON titled.words = f.words""",
+        ),
         "title_rules": r"""SELECT p_partkey, CASE WHEN regexp_matches(p_name, '\bcold\b|\bblue\b') THEN 'Cold'
             WHEN regexp_matches(p_name, '\bring\b|rod') THEN 'Round' ELSE 'Uncategorized' END AS category FROM part""",
         "uncategorized_rank": _with(

@@ -10,6 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import __spark_entry__ as entry  # noqa: E402
 import check  # noqa: E402
+from jobmarket.registry.queries import QUERIES  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,15 +23,12 @@ def db():
     return con
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, db, name):
     df = entry.queries()[name](spark, SF)
     got = check.rows(df.columns, df.collect())
     assert got
-    sql = entry.oracle_sql().get(name)
-    if sql is None:
-        assert name == "title_fuzzy"
-        return
+    sql = entry.oracle_sql()[name]
     cursor = db.execute(sql)
     columns = [d[0] for d in cursor.description]
     assert sorted(df.columns) == sorted(columns)
