@@ -10,17 +10,49 @@ from jobmarket.operators.skew import lookup_join
 from jobmarket.schemas import RAW
 
 
-def _without(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    """Anti join of unique ``known`` keys that keeps repeated keys spread out."""
-    marked = lookup_join(rows, known.withColumn("_known", F.lit(True)), key)
-    return marked.where("_known is null").drop("_known")
+def _nonblank(url: str) -> Column:
+    return F.coalesce(F.col(url), F.lit("")) != ""
 
 
 def only_unseen(listings: DataFrame, seen: DataFrame, url: str = "job_url") -> DataFrame:
     """Listings with an address that history does not hold; repeats survive."""
-    filled = listings.where(F.coalesce(F.col(url), F.lit("")) != "")
     history = seen.select(F.col("job_url").alias(url)).distinct()
-    return _without(filled, history, url)
+    return listings.where(_nonblank(url)).join(history, url, "left_anti")
+
+
+def _pairs(listings: DataFrame, page: str, url: str) -> DataFrame:
+    """(page, url, n) of all listings, blank addresses included, folded before the shuffle."""
+    pairs = listings.select(F.col(page).alias("page"), F.col(url).alias("url"))
+    return pairs.groupBy("page", "url").agg(F.count("*").alias("n"))
+
+
+def _addresses(pairs: DataFrame, seen: DataFrame) -> DataFrame:
+    """(url, first, known): the first page of every address, and whether history holds it."""
+    first = pairs.where(_nonblank("url")).groupBy("url").agg(F.min("page").alias("first"))
+    history = seen.select(F.col("job_url").alias("url")).distinct().withColumn("_known", F.lit(True))
+    return first.join(history, "url", "left").select("url", "first", F.coalesce("_known", F.lit(False)).alias("known"))
+
+
+def _page_flags(pairs: DataFrame, addresses: DataFrame) -> DataFrame:
+    """Per page: listings, new listings, and whether it has addresses, first ones, and ones unknown to history."""
+    first = F.col("first") == F.col("page")
+    return pairs.join(addresses, "url", "left").groupBy("page").agg(
+        F.sum("n").alias("listings"),
+        F.sum(F.when(first & ~F.col("known"), F.col("n")).otherwise(0)).alias("new_listings"),
+        F.bool_or(F.col("first").isNotNull()).alias("has_urls"),
+        F.bool_or(F.coalesce(first, F.lit(False))).alias("has_first"),
+        F.bool_or(F.coalesce(~F.col("known"), F.lit(False))).alias("has_unknown"),
+    )
+
+
+def _stop(flags: DataFrame, history: DataFrame, page: str, pages: DataFrame | None) -> DataFrame:
+    stalled = F.col("has_urls") & ~F.col("has_first")
+    # with no history at all the second test is off
+    stops = flags.where(stalled | (~F.col("has_unknown") & history.exists())).select("page")
+    if pages is not None:
+        fetched = pages.select(F.col(page).alias("page")).distinct()
+        stops = stops.unionByName(fetched.join(flags, "page", "left_anti"))
+    return stops.agg(F.min("page").alias("stop_page"))
 
 
 def crawl_stop(
@@ -31,24 +63,11 @@ def crawl_stop(
 
     A page ends the crawl if it is empty (needs ``pages``, the list of fetched pages),
     if all its addresses were on earlier pages, or if history is not empty and holds
-    all of them.  "All on earlier pages" means that no address appears here first, so
-    both tests are anti joins of page numbers; addresses are folded per page before.
+    all of them.  Listings are folded per (page, address) once; that table gives the
+    first page of every address and, joined with it, the flags of every page.
     """
-    pairs = listings.select(F.col(page).alias("page"), F.col(url).alias("url"))
-    pairs = pairs.where(F.coalesce("url", F.lit("")) != "").distinct()
-    listed = listings.select(F.col(page).alias("page")).distinct()
-    with_urls = pairs.select("page").distinct()
-    fresh = pairs.groupBy("url").agg(F.min("page").alias("page")).select("page").distinct()
-    stalled = with_urls.join(fresh, "page", "left_anti")
-    history = seen.select(F.col("job_url").alias("url")).distinct()
-    unknown = _without(pairs, history, "url").select("page").distinct()
-    # with no history at all the last test is off
-    known_only = listed.join(unknown, "page", "left_anti").where(history.exists())
-    stops = stalled.unionByName(known_only)
-    if pages is not None:
-        fetched = pages.select(F.col(page).alias("page")).distinct()
-        stops = stops.unionByName(fetched.join(listed, "page", "left_anti"))
-    return stops.agg(F.min("page").alias("stop_page"))
+    pairs = _pairs(listings, page, url)
+    return _stop(_page_flags(pairs, _addresses(pairs, seen)), seen, page, pages)
 
 
 def collect_new(
@@ -65,39 +84,22 @@ def collect_new(
         listings = listings.where(F.col(page) <= max_pages)
         pages = pages.where(F.col(page) <= max_pages) if pages is not None else None
     history = seen if incremental else seen.limit(0)
-    stop = crawl_stop(listings, history, page, url, pages).scalar()
-    first = (
-        listings.where(F.coalesce(F.col(url), F.lit("")) != "")
-        .groupBy(F.col(url).alias("_url"))
-        .agg(F.min(page).alias("_page"))
-    )
-    first = first.join(
-        history.select(F.col("job_url").alias("_url")).distinct(), "_url", "left_anti"
-    )
-    before_stop = listings.where(stop.isNull() | (F.col(page) < stop))
-    return before_stop.join(
-        first, (F.col(url) == F.col("_url")) & (F.col(page) == F.col("_page")), "left_semi"
+    pairs = _pairs(listings, page, url)
+    addresses = _addresses(pairs, history)
+    stop = _stop(_page_flags(pairs, addresses), history, page, pages).select(
+        F.coalesce(F.col("stop_page").cast("long"), F.lit((1 << 63) - 1)).alias("stop_page")
     )
+    wanted = addresses.where(~F.col("known")).select(F.col("url").alias("_url"), F.col("first").alias("_page"))
+    here = (F.col(url) == F.col("_url")) & (F.col(page) == F.col("_page"))
+    return listings.where(F.col(page) < stop.scalar()).join(wanted, here, "left_semi")
 
 
 def page_statistics(
     listings: DataFrame, seen: DataFrame, page: str = "page", url: str = "job_url"
 ) -> DataFrame:
-    """Per page: listings and how many of them are new (first page, not in history).
-
-    Listings are counted per (page, address) before they meet history.
-    """
-    counted = listings.groupBy(F.col(page).alias("page"), F.col(url).alias("url")).agg(
-        F.count("*").alias("n")
-    )
-    first = counted.where(F.coalesce("url", F.lit("")) != "").groupBy("url").agg(F.min("page").alias("page"))
-    history = seen.select(F.col("job_url").alias("url")).distinct()
-    fresh = first.join(history, "url", "left_anti").withColumn("_new", F.lit(True))
-    joined = counted.join(fresh, ["url", "page"], "left")
-    return joined.groupBy("page").agg(
-        F.sum("n").alias("listings"),
-        F.sum(F.when(F.col("_new"), F.col("n")).otherwise(0)).alias("new_listings"),
-    )
+    """Per page: listings and how many of them are new (first page, not in history)."""
+    pairs = _pairs(listings, page, url)
+    return _page_flags(pairs, _addresses(pairs, seen)).select("page", "listings", "new_listings")
 
 
 def merge_details(listings: DataFrame, details: DataFrame, url: str = "job_url") -> DataFrame:

@@ -74,3 +74,10 @@ def test_details_and_provenance(spark):
     assert (rows["b"].job_title, rows["b"].location, rows["b"].description) == ("t", "y", None)
     row = with_provenance(df, "portal", "2026-01-01T00:00:00+00:00", "https://b").first()
     assert (row.source, row.source_url, row.collected_at, row.salary) == ("portal", "https://b", "2026-01-01T00:00:00+00:00", None)
+
+
+def test_crawl_reads_its_listings_few_times(spark):
+    df, seen = listing(spark, {1: ["a"]}), history(spark, ["b"])
+    df.write.mode("overwrite").parquet(path := f"{spark.conf.get('spark.checkpoint.dir')}/crawl-plan")
+    plan = collect_new(spark.read.parquet(path), seen)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") <= 6
