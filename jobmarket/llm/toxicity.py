@@ -13,7 +13,7 @@ The model is linear once trained: a word contributes one number, which workers r
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from jobmarket.llm.common import table, text_or_empty
 
 #: labelled documents used for training: at most so many of each label, chosen by a hash of their id
-TRAIN_DOCS = 3000
+TRAIN_DOCS = 2000
 BUCKETS = 1 << 18
 DIMENSION = 4
 NGRAMS = (3, 4, 5, 6)
@@ -94,9 +94,11 @@ class Bags:
     def arrays(self) -> tuple[np.ndarray, np.ndarray]:
         done = len(self.ends) - 1
         if done < len(self.words):
-            flat, ends = subwords(self.words[done:])
-            self.flat = np.concatenate((self.flat, flat))
-            self.ends = np.concatenate((self.ends, ends[1:] + self.ends[-1]))
+            # some words at a time, so that intermediate arrays stay small
+            parts = [subwords(self.words[i : i + 20_000]) for i in range(done, len(self.words), 20_000)]
+            sizes = np.concatenate([np.diff(ends) for _, ends in parts])
+            self.flat = np.concatenate([self.flat, *[flat for flat, _ in parts]])
+            self.ends = np.concatenate((self.ends, np.cumsum(sizes) + self.ends[-1]))
         return self.flat, self.ends
 
 
@@ -160,7 +162,7 @@ def _fit(flat, ends, windows: list[np.ndarray], target: np.ndarray, model: dict[
             model["bias"] -= RATE * error.sum(axis=0) / len(batch)
 
 
-def train(texts: list[str], labels: list[int], seed: int = 5) -> tuple[np.ndarray, float]:
+def train(texts: Iterable[str], labels: list[int], seed: int = 5) -> tuple[np.ndarray, float]:
     """(bucket scores, bias): a window's logit is the bias plus the mean of its words' mean bucket scores."""
     rng, letters = np.random.default_rng(seed), random.Random(seed)
     bags = Bags()
@@ -220,7 +222,8 @@ class Scorer:
             self.known.update(zip(new, means.tolist()))
         known = self.known
         best = [_windows(np.fromiter(map(known.__getitem__, words), np.float64, len(words))).max() for words in split]
-        return (1 / (1 + np.exp(-np.clip(self.bias + np.array(best), -30, 30)))).tolist()
+        scores = 1 / (1 + np.exp(-np.clip(self.bias + np.array(best), -30, 30)))
+        return np.where([len(words) > 0 for words in split], scores, 0.0).tolist()
 
     def score_all(self, column: pa.Array) -> list[float]:
         """Scores of a column of texts, about a megabyte at a time."""
@@ -235,26 +238,32 @@ class Scorer:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> DataFrame:
-    """(text, toxic) of at most ``limit`` labelled documents per label, none of them held out, in hash order of their ids."""
-    marked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", text_or_empty().alias("text")).where(~held_out()).join(marked, "doc_id")
+    """(text, toxic) of at most ``limit`` labelled documents per label, none of them held out.
+
+    Ids are picked from the labels, in hash order; texts are only read for them, without a shuffle.
+    """
     order = F.xxhash64(F.col("doc_id").cast("string"))
-    picked = [rows.where(F.col("toxic") == label).orderBy(order, "doc_id", F.xxhash64("text")).limit(limit) for label in (0, 1)]
-    return picked[0].unionAll(picked[1]).select("text", "toxic")
+    marked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
+    marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    picked = [marked.where(F.col("toxic") == label).orderBy(order, "doc_id").limit(limit) for label in (0, 1)]
+    few = F.broadcast(picked[0].unionAll(picked[1]))  # at most 2 * limit ids
+    rows = docs.select("doc_id", text_or_empty().alias("text")).join(few, "doc_id").dropDuplicates(["doc_id"])
+    return rows.orderBy(order, "doc_id").select("text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> tuple[np.ndarray, float] | None:
     """A model from the labelled documents, or None where a label has no example."""
-    rows = training_rows(docs, labels, limit).collect()
-    if len({r["toxic"] for r in rows}) < 2:
+    rows = training_rows(docs, labels, limit).toArrow()
+    marks = rows["toxic"].to_pylist()
+    if len(set(marks)) < 2:
         return None
-    return train([r["text"] for r in rows], [r["toxic"] for r in rows])
+    return train((text.as_py() for text in rows["text"]), marks)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted), one row per row of ``docs``, from whole texts alone.
 
-    Null and empty texts get the score of a window without words.  Without a model every score is 0.
+    A text without words (null, empty, white space) scores 0.  Without a model every score is 0.
     Repeated rows repeat; a null doc_id is not held out.  Other columns are ignored.
     """
     rows = docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text")
