@@ -15,6 +15,7 @@ from jobmarket.functions.industry import derived_industry
 from jobmarket.functions.titles import clean_title, standardize_titles, taxonomy_match, uncategorized_titles
 from jobmarket.operators.dedup import keep_first, keep_latest
 from jobmarket.operators.upsert import upsert_jobs
+from jobmarket.plans.explorer import list_jobs_after
 from jobmarket.registry import tables as T
 from jobmarket.schemas import JOB_KEY, JOBS
 from jobmarket.sources.staging import staged
@@ -207,6 +208,12 @@ def jobs_page(spark, sf):
     return texts(page)
 
 
+@query
+def jobs_after(spark, sf):
+    """The page after posting 1000, by key."""
+    return texts(list_jobs_after(T.jobs_view(spark, sf), 1000, jm.JobFilters(region="asi"), limit=25))
+
+
 @query
 def jobs_offset(spark, sf):
     page = jm.list_jobs(T.jobs_view(spark, sf), jm.JobFilters(search="WIDGET"), page=9, limit=30, offset=15)
@@ -313,8 +320,9 @@ def url_normalize(spark, sf):
 
 @query
 def url_dedup_first(spark, sf):
-    raw = T.raw_postings(spark, sf).withColumn("dedup_key", X.normalize_url("job_url"))
-    return keep_first(raw.where("job_url <> ''"), "dedup_key", ["posting_id"]).select("posting_id", "dedup_key")
+    key = X.dedup_key("job_url", "job_title", "employer", "location")
+    raw = T.raw_postings(spark, sf).withColumn("dedup_key", key)
+    return keep_first(raw, "dedup_key", ["posting_id"]).select("posting_id", "dedup_key")
 
 
 @query
@@ -412,7 +420,7 @@ def page_statistics(spark, sf):
 @query
 def seen_union(spark, sf):
     listings, seen = T.crawl_tables(spark, sf)
-    return jm.union_seen(seen, listings.where("event_type = 'click'"))
+    return jm.union_seen(seen, listings)
 
 
 @query

@@ -446,6 +446,12 @@ def oracle_sql() -> dict[str, str]:
             f"FROM (SELECT {keys}, list_filter(list_transform(string_split(t, '|'), lambda x: trim(x)), lambda x: x <> '') AS ps FROM ({source}))))"
         )
 
+    listed = (
+        "SELECT id, job_title, career_category, title_match_method, company, location, region, salary_amount, salary_period, "
+        "salary_period_inferred, salary_amount_monthly, salary_period_used, salary_period_estimated, salary_disclosed, currency, "
+        "strftime(date_posted, '%Y-%m-%d') AS date_posted, employment_type, education_requirement, industry, description, source, "
+        f"job_url, {_STAMP.format('collected_at')} AS collected_at FROM jobs"
+    )
     return {
         "summary": _with(j, SUMMARY + "jobs"),
         "summary_filtered": _with(ji, SUMMARY + f"ji WHERE {building}"),
@@ -500,13 +506,8 @@ def oracle_sql() -> dict[str, str]:
         ),
         "dashboard_panels": _with(ji, panels),
         "dashboard_summary": _with(j, SUMMARY + "jobs WHERE region = 'ASIA'"),
-        "jobs_page": _with(
-            j,
-            "SELECT id, job_title, career_category, title_match_method, company, location, region, salary_amount, salary_period, "
-            "salary_period_inferred, salary_amount_monthly, salary_period_used, salary_period_estimated, salary_disclosed, currency, "
-            "strftime(date_posted, '%Y-%m-%d') AS date_posted, employment_type, education_requirement, industry, description, source, "
-            f"job_url, {_STAMP.format('collected_at')} AS collected_at FROM jobs WHERE region ILIKE '%asi%' ORDER BY id DESC LIMIT 25 OFFSET 50",
-        ),
+        "jobs_page": _with(j, f"{listed} WHERE region ILIKE '%asi%' ORDER BY id DESC LIMIT 25 OFFSET 50"),
+        "jobs_after": _with(j, f"{listed} WHERE region ILIKE '%asi%' AND id < 1000 ORDER BY id DESC LIMIT 25"),
         "jobs_offset": _with(
             j, DISPLAY + f"(SELECT * FROM jobs WHERE {_search('WIDGET')} ORDER BY id DESC LIMIT 30 OFFSET 15)"
         ),
@@ -553,7 +554,7 @@ def oracle_sql() -> dict[str, str]:
         "url_normalize": f"SELECT page_id, {_URL.format('url')} AS url, {_key('url', 'NULL', 'NULL', 'NULL')} AS dedup_key FROM pages",
         "url_dedup_first": _with(
             POSTINGS,
-            f"SELECT min(posting_id) AS posting_id, {_URL.format('job_url')} AS dedup_key FROM postings WHERE job_url <> '' GROUP BY 2",
+            f"SELECT min(posting_id) AS posting_id, {_key('job_url', 'job_title', 'employer', 'location')} AS dedup_key FROM postings GROUP BY 2",
         ),
         "dedup_latest": _with(
             REPEATS, f"SELECT {KEYS}, job_url, {_STAMP.format('collected_at')} AS collected_at FROM {_latest('true')}"
@@ -586,7 +587,7 @@ def oracle_sql() -> dict[str, str]:
             "SELECT page, count(*) AS listings, count(*) FILTER (WHERE page = first_page AND NOT known) AS new_listings FROM marked GROUP BY page",
         ),
         "seen_union": _with(
-            EVENTS, "SELECT DISTINCT job_url FROM listings WHERE event_type IN ('click', 'error')"
+            EVENTS, "SELECT DISTINCT job_url FROM listings"
         ),
         "detail_merge": """SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS job_url, o_orderstatus AS job_title,
             CASE WHEN c_acctbal < 0 OR c_mktsegment IS NULL THEN 'none' ELSE c_mktsegment END AS salary_text, c_name AS employer
