@@ -2,7 +2,8 @@
 
 1. Anchors.  Of the 6-word groups inside a window of 13 words, the one with the smallest hash is
    the window's anchor; equal windows have equal anchors and neighbouring windows mostly share one.
-   Anchors met in two documents or more are kept.
+   Anchors met in two documents or more are kept; up to SENT_ANCHORS of them are broadcast, more
+   are joined to the documents.
 2. Segments.  The words of consecutive windows with the same kept anchor go to the shard of that
    anchor, equal segments once per batch.  Windows of an anchor that very many documents share
    are dealt out one by one by their own hash, so that no shard grows with it.
@@ -12,7 +13,7 @@
    doc_id over the interval is the window's first document.
 4. Windows whose first document is smaller than their own mark the words to remove.
 
-Words are compared by a 64-bit hash of their bytes.
+Words are compared by a hash of their bytes, WORD_BYTES long.
 """
 
 from __future__ import annotations
@@ -21,10 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobmarket.llm.common import table, text_or_empty
+from jobmarket.llm.common import staged, table, text_or_empty
 
 WINDOW = 13
 ANCHOR = 6
@@ -35,6 +37,11 @@ SHARD_BYTES = 8 << 20
 #: documents are scanned in groups of about this many bytes
 GROUP_BYTES = 1 << 20
 
+#: so many kept anchors are sent to the tasks (9 bytes each); more are joined to the documents
+SENT_ANCHORS = 8_000_000
+#: bytes of a word's hash that go to the shards
+WORD_BYTES = 6
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _ROLL = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -103,10 +110,15 @@ def _grouped(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
         yield first, texts
 
 
+def _mark(text: bytes) -> int:
+    """Tells different texts of one doc_id apart."""
+    value = xxhash.xxh32_intdigest(text)
+    return value - (1 << 32) if value >> 31 else value
+
+
 def _document_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0).to_numpy()
-        marks = batch.column(1).to_numpy()
         for first, texts in _grouped(batch):
             words = Words(texts)
             at = words.windows()
@@ -117,29 +129,64 @@ def _document_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             order = np.lexsort((found, document))
             found, document = found[order], document[order]
             new = np.append(True, (found[1:] != found[:-1]) | (document[1:] != document[:-1]))
-            rows = document[new] + first
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(found[new].view(np.int64)), pa.array(ids[rows]), pa.array(marks[rows])], ["anchor", "doc_id", "mark"]
-            )
-
-
-def _segments(ids: np.ndarray, marks: np.ndarray, first: int, texts: list[bytes], kept: list[np.ndarray], hot: list[np.ndarray]):
-    """Arrays over the segments of a group of texts: row, start (word in the text), windows, shard key; and the Words."""
+            yield pa.RecordBatch.from_arrays([pa.array(found[new].view(np.int64)), pa.array(ids[document[new] + first])], ["anchor", "doc_id"])
+
+
+class Chosen:
+    """The kept anchors as one sorted array, behind a bit table that most lookups end at."""
+
+    def __init__(self, anchors: np.ndarray, hot: np.ndarray) -> None:
+        self.anchors, self.hot = anchors, hot
+        self.bits = max(16, min(27, len(anchors).bit_length() + 5))
+        table = np.zeros(1 << self.bits, bool)
+        table[self._place(anchors)] = True
+        self.table = np.packbits(table, bitorder="little")
+
+    def _place(self, anchors: np.ndarray) -> np.ndarray:
+        return (anchors.view(np.uint64) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def masks(self, row: int, found: np.ndarray, document: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(kept, hot) for the anchors ``found`` of windows."""
+        found = found.view(np.int64)
+        place = self._place(found)
+        kept = (self.table[place >> 3] >> (place & 7)) & 1 == 1
+        single = np.zeros(len(found), bool)
+        maybe = np.flatnonzero(kept)
+        if len(maybe):
+            slot = np.minimum(np.searchsorted(self.anchors, found[maybe]), len(self.anchors) - 1)
+            kept[maybe] = self.anchors[slot] == found[maybe]
+            single[maybe] = kept[maybe] & self.hot[slot]
+        return kept, single
+
+
+class ChosenByDocument:
+    """The kept anchors of each row of a batch."""
+
+    def __init__(self, batch: pa.RecordBatch) -> None:
+        self.lists = [(np.asarray(k.values), np.asarray(h.values)) for k, h in zip(batch.column("kept"), batch.column("hot"))]
+
+    def masks(self, row: int, found: np.ndarray, document: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        kept, single = np.zeros(len(found), bool), np.zeros(len(found), bool)
+        edges = np.flatnonzero(np.diff(document, prepend=-1, append=-1))
+        for a, b in zip(edges[:-1], edges[1:]):
+            part = found[a:b].view(np.int64)
+            for mask, anchors in zip((kept, single), self.lists[row + document[a]]):
+                mask[a:b] = np.isin(part, anchors)
+        return kept, single
+
+
+def _segments(chosen, row: int, texts: list[bytes]):
+    """Words of a group of texts, and arrays over its segments: text, first word, windows, shard key; None without any."""
     words = Words(texts)
     at = words.windows()
     if not len(at):
-        return words, (np.zeros(0, np.int64),) * 4
+        return words, None
     found, where = words.anchors(at)
     document = words.document[at]
-    bounds = np.searchsorted(document, np.arange(len(texts) + 1))
-    keep, single = np.zeros(len(at), bool), np.zeros(len(at), bool)
-    for i in range(len(texts)):
-        part = found[bounds[i] : bounds[i + 1]].view(np.int64)
-        keep[bounds[i] : bounds[i + 1]] = np.isin(part, kept[first + i])
-        single[bounds[i] : bounds[i + 1]] = np.isin(part, hot[first + i])
+    keep, single = chosen.masks(row, found, document)
     at, found, where, document, single = at[keep], found[keep], where[keep], document[keep], single[keep]
     if not len(at):
-        return words, (np.zeros(0, np.int64),) * 4
+        return words, None
     new = np.append(True, (where[1:] != where[:-1]) | (at[1:] != at[:-1] + 1) | single[1:])
     begin = np.flatnonzero(new)
     count = np.diff(np.append(begin, len(at)))
@@ -161,23 +208,25 @@ def _segment_keys(words: Words, starts: np.ndarray, counts: np.ndarray) -> np.nd
     return _mixed((sums[ends] - sums[starts]) * inverse[starts] + counts.astype(np.uint64))
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]):
-    """Segments of documents that come with their kept anchors: columns doc_id, mark, kept, hot, text."""
+def _pieces(shared, batches: Iterator[pa.RecordBatch]):
+    """Segments of documents; ``shared`` has all kept anchors, or is None where each document comes with its own."""
+    every = Chosen(*shared.value) if shared else None
     for batch in batches:
-        ids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        kept = [np.asarray(x.values) for x in batch.column(2)]
-        hot = [np.asarray(x.values) for x in batch.column(3)]
+        ids = batch.column(0).to_numpy()
+        chosen = every or ChosenByDocument(batch)
         for first, texts in _grouped(batch):
-            words, (document, starts, counts, key) = _segments(ids, marks, first, texts, kept, hot)
-            if len(starts):
-                yield ids[document + first], marks[document + first], words, document, starts, counts, key
+            words, segments = _segments(chosen, first, texts)
+            if segments:
+                document, starts, counts, key = segments
+                marks = np.array([_mark(t) for t in texts], np.int32)
+                yield ids[document + first], marks[document], words, document, starts, counts, key
 
 
-def _contents(shards: int):
+def _contents(shards: int, shared):
     """Kernel: distinct segments per group of texts, packed by shard: (shard, keys, first and last doc_ids, counts, words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, _, words, _, starts, counts, key in _pieces(batches):
+        for ids, _, words, _, starts, counts, key in _pieces(shared, batches):
             content = _segment_keys(words, starts, counts)
             order = np.lexsort((ids, content))
             new = np.append(True, content[order][1:] != content[order][:-1])
@@ -191,7 +240,8 @@ def _contents(shards: int):
                 n = counts[one[part]]
                 lengths = n + WINDOW - 1
                 flat = np.repeat(starts[one[part]] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-                arrays = (content[one[part]], least[part], most[part], n.astype(np.int32), words.hashes[flat])
+                short = words.hashes[flat].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES]
+                arrays = (content[one[part]], least[part], most[part], n.astype(np.int32), short)
                 rows.append((int(shard[part[0]]), *(a.tobytes() for a in arrays)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), *[pa.binary()] * 5))],
@@ -201,12 +251,16 @@ def _contents(shards: int):
     return run
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _places(shared):
     """Kernel: where every segment stands."""
-    for ids, marks, words, document, starts, counts, _ in _pieces(batches):
-        content = _segment_keys(words, starts, counts).view(np.int64)
-        columns = (content, ids, marks, (starts - words.first[document]).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["content", "doc_id", "mark", "start"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, marks, words, document, starts, counts, _ in _pieces(shared, batches):
+            content = _segment_keys(words, starts, counts).view(np.int64)
+            columns = (content, ids, marks, (starts - words.first[document]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["content", "doc_id", "mark", "start"])
+
+    return run
 
 
 class WaveletMatrix:
@@ -301,8 +355,11 @@ def first_documents(hashes: np.ndarray, counts: np.ndarray, least: np.ndarray) -
 def _search(_, shard):
     """Kernel: the FM-index of one shard answers all its windows; only segments with something to remove are returned."""
     parts = [np.frombuffer(b"".join(x.as_py() for x in shard[name]), kind) for name, kind in
-             (("content", np.uint64), ("least", np.int64), ("most", np.int64), ("counts", np.int32), ("words", np.uint64))]
-    content, least, most, counts, hashes = parts
+             (("content", np.uint64), ("least", np.int64), ("most", np.int64), ("counts", np.int32), ("words", np.uint8))]
+    content, least, most, counts, short = parts
+    hashes = np.zeros((len(short) // WORD_BYTES, 8), np.uint8)
+    hashes[:, :WORD_BYTES] = short.reshape(-1, WORD_BYTES)
+    hashes = hashes.view("<u8")[:, 0]
     keys, one, back = np.unique(content, return_index=True, return_inverse=True)
     low, top = np.full(len(keys), np.iinfo(np.int64).max), np.full(len(keys), np.iinfo(np.int64).min)
     np.minimum.at(low, back, least)
@@ -320,40 +377,45 @@ def _search(_, shard):
     return pa.table({"content": pa.array(keys[useful].view(np.int64)), "firsts": lists})
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, starts): the words at which a window starts that a smaller doc_id has too.
+def repeated_windows(docs: DataFrame, limit: int | None = None) -> DataFrame:
+    """(doc_id, found): for the texts of each doc_id, (mark of the text, words at which a window starts that a smaller doc_id has too).
 
-    ``docs`` has doc_id (long, not null), text (not null) and ``mark``, which tells different texts
-    of one doc_id apart.
+    ``docs`` has doc_id (long, not null), then columns to carry, then text (not null).
     """
+    limit = SENT_ANCHORS if limit is None else limit
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     shards = 1 + size // SHARD_BYTES
-    rows = docs.select("doc_id", "mark", "text")
-    anchors = rows.mapInArrow(_document_anchors, "anchor long, doc_id long, mark long")
+    anchors = docs.select("doc_id", "text").mapInArrow(_document_anchors, "anchor long, doc_id long")
     kept = (
         anchors.groupBy("anchor")
         .agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n"))
         .where("least < most")
         .selectExpr("anchor", f"n > {SHARED} AS hot")
     )
-    lists = (
-        anchors.join(kept, "anchor")
-        .groupBy("doc_id", "mark")
-        .agg(F.collect_list("anchor").alias("kept"), F.collect_list(F.expr("CASE WHEN hot THEN anchor END")).alias("hot"))
-    )
-    chosen = rows.join(lists, ["doc_id", "mark"]).select("doc_id", "mark", "kept", "hot", "text")
+    kept = staged(kept)
+    if kept.count() <= limit:
+        rows = kept.orderBy("anchor").toArrow()
+        values = (rows["anchor"].to_numpy(), rows["hot"].to_numpy(zero_copy_only=False).astype(bool))
+        shared, chosen = docs.sparkSession.sparkContext.broadcast(values), docs.select("doc_id", "text")
+    else:
+        lists = (
+            anchors.join(kept, "anchor")
+            .groupBy("doc_id")
+            .agg(F.collect_list("anchor").alias("kept"), F.collect_list(F.expr("CASE WHEN hot THEN anchor END")).alias("hot"))
+        )
+        shared, chosen = None, docs.join(lists, "doc_id").select("doc_id", "kept", "hot", *docs.columns[1:])
     packed = "shard long, content binary, least binary, most binary, counts binary, words binary"
     found = (
-        chosen.mapInArrow(_contents(shards), packed)
+        chosen.mapInArrow(_contents(shards, shared), packed)
         .groupBy("shard")
         .applyInArrow(_search, "content long, firsts array<long>")
         .dropDuplicates(["content"])
     )
-    placed = chosen.mapInArrow(_places, "content long, doc_id long, mark long, start int")
+    placed = chosen.mapInArrow(_places(shared), "content long, doc_id long, mark int, start int")
     hits = placed.join(found, "content").selectExpr(
         "doc_id", "mark", "filter(transform(firsts, (f, i) -> IF(f < doc_id, start + i, -1)), s -> s >= 0) AS starts"
     )
-    return hits.where("size(starts) > 0").groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    return hits.where("size(starts) > 0").groupBy("doc_id").agg(F.collect_list(F.struct("mark", "starts")).alias("found"))
 
 
 def _removed(n: int, starts: np.ndarray) -> np.ndarray:
@@ -364,37 +426,62 @@ def _removed(n: int, starts: np.ndarray) -> np.ndarray:
     return np.cumsum(edges[:n]) > 0
 
 
-def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kernel: the last columns are starts and text; gives n_words, n_removed and the kept words."""
-    for batch in batches:
-        words, removed, kept = [], [], []
-        for starts, value in zip(batch.column("starts"), batch.column("text")):
-            tokens = value.as_py().encode().split()
-            words.append(len(tokens))
-            if starts.is_valid:
-                gone = _removed(len(tokens), np.asarray(starts.values))
-                removed.append(int(gone.sum()))
-                tokens = [t for t, g in zip(tokens, gone.tolist()) if not g]
-            else:
+def _kept(fields: list[str], layout: bool):
+    """Kernel over (doc_id, found, carried columns, text): adds n_words, n_removed and the kept words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, removed, kept = [], [], []
+            for found, value in zip(batch.column(1), batch.column(batch.num_columns - 1)):
+                text = value.as_py().encode()
+                tokens = text.split()
+                words.append(len(tokens))
+                mark = _mark(text) if found.is_valid else 0
+                starts = [s for x in found.as_py() or () if x["mark"] == mark for s in x["starts"]]
                 removed.append(0)
-            kept.append(b" ".join(tokens))
-        columns = [batch.column(0), batch.column(1), pa.array(words, pa.int64()), pa.array(removed, pa.int64())]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "mark", "n_words", "n_removed", "kept"])
+                if starts:
+                    gone = _removed(len(tokens), np.array(starts))
+                    removed[-1] = int(gone.sum())
+                    tokens = [t for t, g in zip(tokens, gone.tolist()) if not g]
+                kept.append(text if layout and not starts else b" ".join(tokens))
+            new = [pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:-1], *new], fields)
+
+    return run
 
 
-def dedup_substrings(docs: DataFrame) -> DataFrame:
-    """doc_id, mark, n_words, n_removed and the kept words joined by a space, one row per row of ``docs``.
+def dedup_substrings(docs: DataFrame, carried: tuple[str, ...] = (), layout: bool = False) -> DataFrame:
+    """doc_id, the ``carried`` columns, n_words, n_removed and kept (words joined by a space), one row per row of ``docs``.
 
-    A word goes if a window of 13 words over it also starts in a document with a smaller doc_id.
+    A word goes if a window of 13 words over it also starts in a document with a smaller doc_id (long).
     Null texts count as empty; a row without doc_id is smaller than none and keeps all words; rows of
-    one doc_id don't affect each other.  Texts under 13 words keep all.  Other columns are ignored.
+    one doc_id don't affect each other.  Texts under 13 words keep all.  With ``layout`` a text that
+    keeps all words keeps its white space too.  Columns neither named nor carried are ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    inner = [f"carried_{i}" for i in range(len(carried))]
+    rows = docs.select("doc_id", *[F.col(c).alias(i) for c, i in zip(carried, inner)], text_or_empty().alias("text"))
     named = rows.where("doc_id IS NOT NULL")
-    marked = named.join(repeated_windows(named), ["doc_id", "mark"], "left").select("doc_id", "mark", "starts", "text")
-    rest = rows.where("doc_id IS NULL").select("doc_id", "mark", F.lit(None).cast("array<int>").alias("starts"), "text")
-    return marked.unionAll(rest).mapInArrow(_kept, "doc_id long, mark long, n_words long, n_removed long, kept string")
+    # no cast or alias of doc_id here: this join and the one inside then share one shuffle of the texts
+    marked = repeated_windows(named).join(named, "doc_id", "right").select("doc_id", "found", *inner, "text")
+    empty = F.lit(None).cast("array<struct<mark: int, starts: array<int>>>")
+    rest = rows.where("doc_id IS NULL").select("doc_id", empty.alias("found"), *inner, "text")
+    fields = ["doc_id", *inner, "n_words", "n_removed", "kept"]
+    kinds = ["long", *[rows.schema[i].dataType.simpleString() for i in inner], "long", "long", "string"]
+    found = marked.unionAll(rest).mapInArrow(_kept(fields, layout), ", ".join(f"{n} {k}" for n, k in zip(fields, kinds)))
+    return found.toDF("doc_id", *carried, "n_words", "n_removed", "kept")
+
+
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with repeated passages cut from their texts; n_chars, if there, is counted anew for texts that changed."""
+    carried = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    found = dedup_substrings(docs, carried, layout=True)
+    names = [f"c{i}" for i in range(len(carried))]
+    found = found.toDF("doc_id", *names, "n_words", "n_removed", "kept")
+    columns = dict(zip(carried, map(F.col, names))) | {"doc_id": F.col("doc_id"), "text": F.col("kept")}
+    if "n_chars" in columns:
+        chars = F.when(F.col("n_removed") > 0, F.char_length("kept")).otherwise(columns["n_chars"])
+        columns["n_chars"] = chars.cast(docs.schema["n_chars"].dataType)
+    return found.select(*[columns[c].alias(c) for c in docs.columns])
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -268,10 +268,11 @@ def plain_dedup(rows):
     return Counter(out)
 
 
-@pytest.mark.parametrize("shared", [substrings.SHARED, 0])
-def test_substrings(edges, empty, texts, documents, monkeypatch, shared):
-    """With shared = 0 every window is dealt out by its own hash."""
+@pytest.mark.parametrize("shared, sent", [(substrings.SHARED, substrings.SENT_ANCHORS), (0, substrings.SENT_ANCHORS), (2, 0)])
+def test_substrings(edges, empty, texts, documents, monkeypatch, shared, sent):
+    """With shared = 0 every window is dealt out by its own hash; with sent = 0 anchors are joined to the documents."""
     monkeypatch.setattr(substrings, "SHARED", shared)
+    monkeypatch.setattr(substrings, "SENT_ANCHORS", sent)
     for df, rows in ((edges, [(d, t) for d, t, _ in EDGES]), (documents, texts)):
         got = Counter(tuple(r) for r in substrings.dedup_substrings(df).collect())
         assert got == plain_dedup(rows)
