@@ -33,7 +33,9 @@ def rounded_average(total: Column, count: Column) -> Column:
 
 
 def _ranked(counted: DataFrame, name: str, limit: int | None) -> DataFrame:
-    ordered = counted.orderBy(F.desc("job_count"), name)
+    # groups under one label may tie in count too; the other columns then decide
+    rest = [c for c in counted.columns if c not in (name, "job_count")]
+    ordered = counted.orderBy(F.desc("job_count"), name, *rest)
     return ordered if limit is None else ordered.limit(checked_limit(limit))
 
 
