@@ -405,12 +405,9 @@ def repeated_windows(docs: DataFrame, limit: int | None = None) -> DataFrame:
         )
         shared, chosen = None, docs.join(lists, "doc_id").select("doc_id", "kept", "hot", *docs.columns[1:])
     packed = "shard long, content binary, least binary, most binary, counts binary, words binary"
-    found = (
-        chosen.mapInArrow(_contents(shards, shared), packed)
-        .groupBy("shard")
-        .applyInArrow(_search, "content long, firsts array<long>")
-        .dropDuplicates(["content"])
-    )
+    # a segment is in one shard only, so its key is unique here; without an aggregate between shuffle and
+    # join, adaptive execution can split the places of a segment that very many documents share
+    found = chosen.mapInArrow(_contents(shards, shared), packed).groupBy("shard").applyInArrow(_search, "content long, firsts array<long>")
     placed = chosen.mapInArrow(_places(shared), "content long, doc_id long, mark int, start int")
     hits = placed.join(found, "content").selectExpr(
         "doc_id", "mark", "filter(transform(firsts, (f, i) -> IF(f < doc_id, start + i, -1)), s -> s >= 0) AS starts"
