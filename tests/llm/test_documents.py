@@ -387,6 +387,16 @@ def test_context_tree_against_recursion(spark):
     assert whole <= 1 + 1e-6
 
 
+def test_context_seen_very_often_leaves_the_other_bit_possible(spark):
+    """Counts (0, 1e8) at the first node without context: a byte below 128 is rare, not impossible."""
+    n = 100_000_000
+    tree = spark.createDataFrame([(1, (n + 0.5) / (n + 1.0), n)], "key long, p double, n long")
+    model = contexttree.Model(*contexttree.bounded(tree), 0)
+    import numpy as np
+
+    assert abs(model.code_lengths(np.array([65]))[0] - (math.log10(0.5 / (n + 1.0)) + 7 * math.log10(0.5))) < 1e-6
+
+
 def test_bounded_tree_keeps_the_most_frequent(spark):
     tree = spark.createDataFrame([(i, 0.5, n) for i, n in enumerate([1, 1, 2, 3, 4, 9])], "key long, p double, n long")
     assert [len(contexttree.bounded(tree, most)[0]) for most in (6, 5, 4, 3, 2, 0)] == [6, 4, 4, 2, 2, 0]
