@@ -84,19 +84,19 @@ class MultiIndex:
         code = codes(query[None, :], self.rotation)
         values = _substrings(code)[:, 0]
         norm = np.sqrt((query * query).sum())
-        distance = np.bitwise_count(self.codes ^ code[0]).astype(np.int64)
         fresh = self.ids != own
-        waiting, scores, best = [np.zeros(0, np.int64)], np.zeros(0), np.zeros(0, np.int64)
+        rows = distance = best = np.zeros(0, np.int64)
+        scores = np.zeros(0)
         for radius in range(BITS + 1):
             t, part = divmod(radius, PARTS)
             if t <= WIDTH:
                 found = self._probe(part, int(values[part]), t)
                 found = found[fresh[found]]
                 fresh[found] = False
-                waiting.append(found)
-            rows = np.concatenate(waiting)
-            near = rows[distance[rows] <= radius]
-            waiting = [rows[distance[rows] > radius]]
+                rows = np.append(rows, found)
+                distance = np.append(distance, np.bitwise_count(self.codes[found] ^ code[0]).astype(np.int64))
+            near, far = rows[distance <= radius], distance > radius
+            rows, distance = rows[far], distance[far]
             if len(near):
                 cosines = (self.vectors[near] * query).sum(axis=1) / (self.norms[near] * norm)
                 best, scores = np.append(best, near), np.append(scores, cosines)

@@ -48,6 +48,20 @@ def test_search_edges(spark):
     assert multiindex.search(df.limit(0)).count() == 0
 
 
+def test_search_compares_only_codes_it_retrieves(monkeypatch):
+    """A query in a tight cluster ends early, and codes of the other clusters are never looked at."""
+    rng = np.random.default_rng(4)
+    vectors = np.repeat(rng.normal(size=(40, 64)), 50, axis=0) + rng.normal(scale=0.01, size=(2000, 64))
+    index = multiindex.MultiIndex(np.arange(2000), vectors, multiindex.learn_rotation(vectors))
+    looked, count = [], np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda x: looked.append(np.size(x)) or count(x))
+    ids, scores = index.search(7, vectors[7], 5)
+    cosines = vectors @ vectors[7] / np.linalg.norm(vectors, axis=1) / np.linalg.norm(vectors[7])
+    cosines[7] = -2
+    assert ids.tolist() == np.argsort(-cosines)[:5].tolist() and np.allclose(scores, np.sort(cosines)[::-1][:5])
+    assert 0 < sum(looked) < 1000
+
+
 @pytest.fixture(scope="module")
 def pages(spark):
     big = "".join(f"<p>{i * i}</p>" for i in range(40_000))
