@@ -5,6 +5,7 @@ from __future__ import annotations
 from jobmarket.llm.bpe import op7_bpe
 from jobmarket.llm.common import shipping
 from jobmarket.llm.contexttree import op6_contexttree
+from jobmarket.llm.divergence import OP11_SQL, op11_divergence
 from jobmarket.llm.mixing import OP5_SQL, op5_mixing
 from jobmarket.llm.multiindex import op3_multiindex
 from jobmarket.llm.orderhash import op4_orderhash
@@ -25,6 +26,7 @@ _OPERATORS = {
     "op8_warc": op8_warc,
     "op9_substrings": op9_substrings,
     "op10_sharding": op10_sharding,
+    "op11_divergence": op11_divergence,
 }
 QUERIES = {name: shipping(run) for name, run in _OPERATORS.items()}
-SQL = {"op5_mixing": OP5_SQL, "op8_warc": OP8_SQL}
+SQL = {"op5_mixing": OP5_SQL, "op8_warc": OP8_SQL, "op11_divergence": OP11_SQL}
