@@ -6,9 +6,11 @@ from jobmarket.llm.bpe import op7_bpe
 from jobmarket.llm.common import shipping
 from jobmarket.llm.contexttree import op6_contexttree
 from jobmarket.llm.divergence import OP11_SQL, op11_divergence
+from jobmarket.llm.langid import op12_langid
 from jobmarket.llm.mixing import OP5_SQL, op5_mixing
 from jobmarket.llm.multiindex import op3_multiindex
 from jobmarket.llm.orderhash import op4_orderhash
+from jobmarket.llm.prefixtrie import op13_prefixtrie
 from jobmarket.llm.sharding import op10_sharding
 from jobmarket.llm.simhash import op1_simhash
 from jobmarket.llm.substrings import op9_substrings
@@ -27,6 +29,8 @@ _OPERATORS = {
     "op9_substrings": op9_substrings,
     "op10_sharding": op10_sharding,
     "op11_divergence": op11_divergence,
+    "op12_langid": op12_langid,
+    "op13_prefixtrie": op13_prefixtrie,
 }
 QUERIES = {name: shipping(run) for name, run in _OPERATORS.items()}
 SQL = {"op5_mixing": OP5_SQL, "op8_warc": OP8_SQL, "op11_divergence": OP11_SQL}

@@ -138,4 +138,4 @@ def test_pipeline(spark):
 
 
 def test_queries_are_complete():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
