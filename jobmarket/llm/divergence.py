@@ -34,9 +34,9 @@ BLOCK_TERMS = 8192
 #: sources of a tile, about
 TILE = 96
 #: terms that a task counts before it hands the counts on
-COUNTED = 400_000
+COUNTED = 200_000
 #: leaves of the trees that one walk visits at most
-WALK = 1 << 21
+WALK = 1 << 19
 
 #: ASCII letters in lower case, bytes of other characters unchanged, all else a blank
 _FOLD = bytes(b if b >= 128 else b | 32 if chr(b).isalpha() else 32 for b in range(256))
@@ -88,7 +88,8 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     """(lang, term, total, cells): kept terms with their counts (source, n) per source."""
     every = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")])
     counts = every.mapInArrow(_counted, "lang string, source string, term string, n long, docs long")
-    cells = counts.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # one shuffle serves both sums; a term has a few rows per source and task
+    cells = counts.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     return (
         cells.groupBy("lang", "term")
         .agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.collect_list(F.struct("source", "n")).alias("cells"))
@@ -164,9 +165,24 @@ def _shares(forest: Forest, tree: np.ndarray, leaf: np.ndarray, whole: np.ndarra
     return out
 
 
+def _table(lang: str, found: list[tuple[list, str, list, np.ndarray]]) -> pa.Table:
+    """Rows of (sources, part, items, values) of a language."""
+    return pa.table(
+        {
+            "lang": pa.array([lang] * sum(len(v) for *_, v in found), pa.string()),
+            "source": pa.array([s for names, *_ in found for s in names], pa.string()),
+            "part": pa.array([part for _, part, _, v in found for _ in range(len(v))], pa.string()),
+            "item": pa.array([s for _, _, items, _ in found for s in items], pa.string()),
+            "value": pa.array(np.concatenate([np.zeros(0, np.int64), *[v for *_, v in found]]), pa.int64()),
+        }
+    )
+
+
 def _audit(key: tuple, groups: pa.Table, words: pa.Table) -> pa.Table:
     """Prices of one block and pair of tiles: (lang, source, part, item, value)."""
     lang, _, low, high = (k.as_py() for k in key)
+    if not groups.num_rows:  # tiles without a source
+        return _table(lang, [])
     groups = groups.sort_by("source")
     sources, tiles = groups["source"].to_pylist(), groups["tile"].to_numpy()
     kept = groups["kept"][0].as_py()
@@ -181,7 +197,7 @@ def _audit(key: tuple, groups: pa.Table, words: pa.Table) -> pa.Table:
     counts[row, column] = flat.field("n").to_numpy()
     counts[-1] = words["total"].to_numpy()
     whole = np.append(groups["whole"].to_numpy(), groups["lang_whole"][0].as_py()).astype(object)
-    out: list[tuple[list, str, list, list]] = []
+    out: list[tuple[list, str, list, np.ndarray]] = []
     if words.num_rows:
         forest = Forest(counts)
     i, j = np.triu_indices(len(sources), 1)
@@ -219,16 +235,7 @@ def _audit(key: tuple, groups: pa.Table, words: pa.Table) -> pa.Table:
                     least = np.partition(value, len(value) - TOP_TERMS)[len(value) - TOP_TERMS]
                     here, value = here[value >= least], value[value >= least]
                 out.append(([sources[tree]] * len(here), "term", [of[h] for h in here], value))
-    size = sum(len(v) for *_, v in out)
-    return pa.table(
-        {
-            "lang": pa.array([lang] * size, pa.string()),
-            "source": pa.array([s for names, *_ in out for s in names], pa.string()),
-            "part": pa.array([part for _, part, _, v in out for _ in range(len(v))], pa.string()),
-            "item": pa.array([s for _, _, items, _ in out for s in items], pa.string()),
-            "value": pa.array(np.concatenate([np.zeros(0, np.int64), *[v for *_, v in out]]), pa.int64()),
-        }
-    )
+    return _table(lang, out)
 
 
 def audit(docs: DataFrame) -> DataFrame:
