@@ -271,8 +271,8 @@ def audit(docs: DataFrame) -> DataFrame:
     right = right.select("lang", "block", "unit.*", "term", "total", "cells")
     schema = "lang string, source string, part string, item string, value long"
     priced = left.groupBy(unit).cogroup(right.groupBy(unit)).applyInArrow(_audit, schema)
-    # blocks add up; a term is in one block
-    summed = priced.groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
+    # blocks add up; a term is in one block; stored, so that both parts share one pricing
+    summed = staged(priced.groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value")))
     order = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
     ranked = lambda part: summed.where(F.col("part") == part).withColumn("rank", F.row_number().over(order))
     return ranked("pair").unionAll(ranked("term").where(F.col("rank") <= TOP_TERMS))
