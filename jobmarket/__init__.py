@@ -8,7 +8,7 @@ from jobmarket.operators.dedup import keep_first, keep_latest
 from jobmarket.operators.locations import (
     build_location_lookup, location_dimension, lookup_statistics, standardize_locations,
 )
-from jobmarket.operators.quality import quality_report
+from jobmarket.operators.quality import merged_report, partial_report, quality_report
 from jobmarket.operators.standardize import clean_records, prepare
 from jobmarket.operators.upsert import evolve, import_statistics, split_valid, upsert_jobs
 from jobmarket.plans.analytics import (
@@ -23,7 +23,9 @@ from jobmarket.plans.explorer import (
     display_rows, explorer_options, get_job_count, list_jobs, page_window,
 )
 from jobmarket.plans.filters import Filters, JobFilters
-from jobmarket.plans.run import State, run_clean, run_collection, run_import
+from jobmarket.plans.run import (
+    State, clean_table, import_landing, report_table, run_clean, run_collection, run_import, run_landing, uncategorized_table,
+)
 from jobmarket.rules.taxonomy import build_taxonomy
 from jobmarket import schemas
 from jobmarket.session import build_session

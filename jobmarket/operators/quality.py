@@ -43,6 +43,39 @@ def _conditions() -> dict[str, Column]:
     }
 
 
+def _usable() -> Column:
+    """Whether a row that no earlier one repeats is a valid record."""
+    return (
+        (F.coalesce("job_title", F.lit("")) != "")
+        & F.col("company").isNotNull()
+        & (F.coalesce("location", F.lit(P.UNKNOWN)) != P.UNKNOWN)
+    )
+
+
+def _total(c: str | Column) -> Column:
+    return F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+
+
+def partial_report(rows: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The report's counters for one landing, to be added to those of the landings before it.
+
+    ``rows`` are all its rows, ``fresh`` the first row of every dedup key that no earlier landing had.
+    Both are only counted, so nothing but one row per task is shuffled.
+    """
+    kept = fresh.agg(F.count("*").alias("kept"), F.count_if(_usable()).alias("valid"))
+    counters = rows.agg(F.count("*").alias("n"), *[F.count_if(c).alias(name) for name, c in _conditions().items()])
+    kept_rows, valid = kept.select("kept").scalar(), kept.select("valid").scalar()
+    return counters.withColumns(
+        {"total_records": F.col("n"), "duplicate_records": F.col("n") - kept_rows, "valid_records": valid}
+    ).select([F.col(c).cast("bigint").alias(c) for c in REPORT_COLUMNS])
+
+
+def merged_report(parts: DataFrame, generated_at: Column | None = None) -> DataFrame:
+    """Sum of partial reports: the report of all their landings together."""
+    report = parts.agg(*[_total(c).alias(c) for c in REPORT_COLUMNS])
+    return report if generated_at is None else report.withColumn("generated_at", generated_at)
+
+
 def quality_report(
     clean: DataFrame, order: Sequence[str] = ("load_order",), generated_at: Column | None = None
 ) -> DataFrame:
@@ -52,26 +85,18 @@ def quality_report(
     with very many copies costs one row per task.  A key's first row in load order
     tells whether it yields a valid record.
     """
-    usable = (
-        (F.coalesce("job_title", F.lit("")) != "")
-        & F.col("company").isNotNull()
-        & (F.coalesce("location", F.lit(P.UNKNOWN)) != P.UNKNOWN)
-    )
     position = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     conditions = _conditions()
     per_key = clean.groupBy("dedup_key").agg(
         F.count("*").alias("n"),
-        F.min_by(usable, position).alias("usable"),
+        F.min_by(_usable(), position).alias("usable"),
         *[F.count_if(c).alias(name) for name, c in conditions.items()],
     )
 
-    def total(c: str | Column) -> Column:
-        return F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
-
     report = per_key.agg(
-        total("n").alias("total_records"),
-        total(F.col("n") - 1).alias("duplicate_records"),
-        *[total(name).alias(name) for name in conditions],
+        _total("n").alias("total_records"),
+        _total(F.col("n") - 1).alias("duplicate_records"),
+        *[_total(name).alias(name) for name in conditions],
         F.count_if("usable").alias("valid_records"),
     ).select(*REPORT_COLUMNS)
     return report if generated_at is None else report.withColumn("generated_at", generated_at)

@@ -63,35 +63,46 @@ def number_rows(df: DataFrame, order: list[Column], start: int, name: str = "id"
     )
 
 
-def upsert_jobs(jobs: DataFrame, batch: DataFrame, now: Column | None = None) -> DataFrame:
+#: a batch keeps the row that is greatest by these
+NEWEST = ("collected_at", "job_url", "source", "date_posted", "salary_amount")
+
+
+def latest_of_batch(batch: DataFrame) -> DataFrame:
+    """The rows of a batch that an import writes: valid ones, the latest of every key."""
+    check_columns(batch)
+    valid = batch.where(accepted_row()).select([F.col(c).cast(JOBS[c].dataType).alias(c) for c in JOB_COLUMNS])
+    return keep_latest(valid, tie_break=NEWEST[1:])
+
+
+def upsert_jobs(
+    jobs: DataFrame, batch: DataFrame, now: Column | None = None, top: int | None = None, newest: bool = False
+) -> DataFrame:
     """New snapshot: batch rows replace rows of the same key, others are added.
 
     Ids and creation times of existing rows stay.  Keys compare null-safely.  The
-    batch may be older than the table: the last writer wins, as in a plain upsert.
+    batch may be older than the table: the last writer wins, as in a plain upsert, unless ``newest``
+    is set: then a row of the table stays that would win in one batch with the new one.
+    New ids follow ``top``, by default the largest id of ``jobs``.
     The table is joined once in full and once by its key columns, and never staged;
     only the added rows are, while they get their ids.
     """
-    check_columns(batch)
     jobs = evolve(jobs)
     stamp = F.current_timestamp() if now is None else now
-    incoming = keep_latest(
-        batch.where(accepted_row()).select(*JOB_COLUMNS), tie_break=("job_url", "source", "date_posted", "salary_amount")
-    )
-    incoming = incoming.select(
-        *[F.col(c).cast(JOBS[c].dataType).alias(f"_n_{c}") for c in JOB_COLUMNS],
-        F.lit(True).alias("_incoming"),
-    )
+    incoming = latest_of_batch(batch).select(*[F.col(c).alias(f"_n_{c}") for c in JOB_COLUMNS], F.lit(True).alias("_incoming"))
     same = [F.col(c).eqNullSafe(F.col(f"_n_{c}")) for c in JOB_KEY]
+    replaced = F.coalesce("_incoming", F.lit(False))
+    if newest:
+        replaced &= ~(F.struct(*NEWEST) > F.struct(*[F.col(f"_n_{c}").alias(c) for c in NEWEST]))
 
-    matched = jobs.join(incoming, same, "left")
+    matched = jobs.join(incoming, same, "left").withColumn("_replaced", replaced)
     kept = matched.withColumns(
-        {c: F.when(F.col("_incoming"), F.col(f"_n_{c}")).otherwise(F.col(c)) for c in JOB_COLUMNS}
+        {c: F.when(F.col("_replaced"), F.col(f"_n_{c}")).otherwise(F.col(c)) for c in JOB_COLUMNS}
     ).select(*jobs.columns)
 
     added = incoming.join(jobs.select(*JOB_KEY), same, "left_anti").select(
         *[F.col(f"_n_{c}").alias(c) for c in JOB_COLUMNS]
     )
-    top = jobs.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    top = jobs.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] if top is None else top
     order = [F.col("collected_at").asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in JOB_KEY]]
     added = number_rows(added, order, top).withColumn("created_at", stamp.cast("timestamp"))
     return kept.unionByName(added, allowMissingColumns=True)

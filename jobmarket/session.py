@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -48,3 +50,17 @@ def shared_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="jobmarket-")
     context.setCheckpointDir(path)
     return path
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the sources of this library to the executors, once per application; their Python workers import it."""
+    context = spark.sparkContext
+    if getattr(context, "_jobmarket_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="jobmarket-")) / "jobmarket.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._jobmarket_shipped = True

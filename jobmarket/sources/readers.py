@@ -6,29 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobmarket.schemas import CLEAN, JOBS, LOCATION_LOOKUP, RAW, SEEN
-from jobmarket.sources.snapshots import latest_version
+from jobmarket.schemas import CLEAN, LOCATION_LOOKUP, RAW, SEEN
+from jobmarket.sources.buckets import read_jobs_table
+from jobmarket.sources.json_arrays import read_json_arrays
+from jobmarket.sources.snapshots import latest_version, read_parts
 
 #: load order of raw records: file name, then position in the file
 LOAD_ORDER = ("file_name", "ord")
 
 
-def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """Raw postings from files that each hold one JSON array.
+def read_raw(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
+    """Raw postings from files that each hold one JSON array; many tasks read one large file.
 
-    Files whose content is no array or no valid JSON yield nothing.  ``file_name``
+    Files whose content is no array of objects or no valid JSON yield nothing.  ``file_name``
     and ``ord`` give the load order.
     """
-    files = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
-    starts_array = F.col("value").rlike(r"\A\s*\[")
-    records = F.from_json("value", T.ArrayType(RAW), {"mode": "PERMISSIVE"})
-    return (
-        files.select("value", F.col("_metadata.file_name").alias("file_name"))
-        .where(starts_array)
-        .select("file_name", F.posexplode(records).alias("ord", "r"))
-        .where("r is not null")
-        .select("file_name", "ord", "r.*")
-    )
+    return read_json_arrays(spark, path, RAW, glob)
 
 
 def read_landing(spark: SparkSession, path: str) -> DataFrame:
@@ -69,16 +62,15 @@ def read_location_lookup(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_seen(spark: SparkSession, root: str) -> DataFrame:
-    """Addresses handled by earlier runs; no history yet means an empty table."""
-    current = latest_version(spark, root)
-    if current is None:
-        return spark.createDataFrame([], SEEN)
-    return spark.read.schema(SEEN).parquet(current)
+    """Addresses handled by earlier runs; no history yet means an empty table.
+
+    Two runs at the same time may both have committed an address, which then is in the table twice.
+    """
+    seen = read_parts(spark, root, "seen", SEEN)
+    older = latest_version(spark, root)
+    return seen.unionByName(spark.read.schema(SEEN).parquet(older)) if older else seen
 
 
 def read_jobs(spark: SparkSession, root: str) -> DataFrame:
-    """Current jobs snapshot, or an empty table."""
-    current = latest_version(spark, root)
-    if current is None:
-        return spark.createDataFrame([], JOBS)
-    return spark.read.parquet(current)
+    """Current jobs table, or an empty one."""
+    return read_jobs_table(spark, root)

@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobmarket.functions.titles import uncategorized_titles
-from jobmarket.functions.industry import DERIVED, with_industry
 from jobmarket.schemas import RAW
-from jobmarket.sources.snapshots import write_version
+from jobmarket.sources.snapshots import commit_part, write_part
 
 
 def land_raw(postings: DataFrame, path: str, run_ts: str, suffix: str = "") -> None:
@@ -41,10 +40,7 @@ def write_uncategorized(clean: DataFrame, path: str) -> None:
     uncategorized_titles(clean).write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_jobs(jobs: DataFrame, root: str) -> str:
-    """Next jobs snapshot.  It stores the derived industry, which filters can push down."""
-    return write_version(with_industry(jobs.drop(DERIVED)), root)
-
-
-def write_seen(seen: DataFrame, root: str) -> str:
-    return write_version(seen.select("job_url"), root)
+def commit_seen(new: DataFrame, root: str, run_ts: str) -> None:
+    """Add the addresses of a run to the history; a repeated run replaces its own."""
+    folder = write_part(new.select("job_url").distinct(), root)
+    commit_part(new.sparkSession, root, run_ts, seen=folder)

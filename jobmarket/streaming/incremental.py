@@ -4,25 +4,21 @@ The stream checkpoint remembers which landing files are done, and the upsert mak
 repeated batch harmless, so a restarted job neither loses nor doubles postings.
 
 Of postings with one ``dedup_key`` the first landed is imported, however the landing files
-fall into batches: the keys of earlier batches are stored, and each batch is held against them.
-A batch that is repeated after a failure replaces its own keys and its own rejected rows.
+fall into batches: the keys of earlier batches are stored, and each batch is held against those
+that are filed with its own.  A batch that is repeated after a failure replaces its own keys and its own rejected rows.
 Files must arrive in landing order; a file that arrives late counts as landed late.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from jobmarket.operators.dedup import keep_first
-from jobmarket.operators.standardize import clean_records, prepare
-from jobmarket.plans.run import State, run_import
+from jobmarket.plans.run import State, import_landing
 from jobmarket.rules.taxonomy import DEFAULT_TAXONOMY, Taxonomy
 from jobmarket.schemas import RAW
 from jobmarket.sources.readers import LANDING_ORDER
-from jobmarket.sources.staging import removed, staged
 
 
 def landing_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -35,15 +31,6 @@ def landing_stream(spark: SparkSession, path: str, files_per_batch: int = 1000)
     )
 
 
-def stored_keys(spark: SparkSession, state: State) -> DataFrame:
-    """(dedup_key, batch) of the postings imported by the stream so far; empty before the first batch."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(state.keys)
-    schema = "dedup_key string, batch long"
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(state.keys)
-
-
 def start_incremental_import(
     spark: SparkSession,
     state: State,
@@ -55,12 +42,7 @@ def start_incremental_import(
     """Import everything landed since the last call, then stop."""
 
     def import_batch(batch: DataFrame, number: int) -> None:
-        first = staged(keep_first(clean_records(batch, lookup, taxonomy), "dedup_key", LANDING_ORDER), "batch")
-        earlier = stored_keys(spark, state).where(F.col("batch") < number)
-        fresh = first.join(earlier, first["dedup_key"].eqNullSafe(earlier["dedup_key"]), "left_anti")
-        run_import(prepare(fresh), state, f"batch-{number:012d}")
-        fresh.select("dedup_key").write.mode("overwrite").parquet(f"{state.keys}/batch={number}")
-        removed(first)
+        import_landing(batch, lookup, state, f"batch-{number:012d}", LANDING_ORDER, taxonomy)
 
     return (
         landing_stream(spark, state.landing, files_per_batch)

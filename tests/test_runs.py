@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +8,8 @@ import jobmarket as jm
 from jobmarket.operators import collect
 from jobmarket.plans import run as plans_run
 from jobmarket.sources import readers, writers
-from jobmarket.sources.snapshots import latest_version, write_version
+from jobmarket.sources.buckets import import_jobs
+from jobmarket.sources.snapshots import latest_version, read_commit
 from jobmarket.streaming.incremental import start_incremental_import
 
 
@@ -72,7 +74,7 @@ def test_clean_import_and_repeat(spark, raw_folder, lookup, tmp_path):
     assert spark.read.parquet(state.rejected).count() == 1
     jobs = readers.read_jobs(spark, state.jobs)
     assert "industry_derived" in jobs.columns and sorted(r.id for r in jobs.collect()) == [1, 2, 3, 4]
-    assert latest_version(spark, state.jobs).endswith("version=00000002")
+    assert read_commit(spark, state.jobs)[0] == 2
 
 
 def listings(spark, pages):
@@ -92,10 +94,10 @@ def test_collection_commits_last(spark, lookup, tmp_path, monkeypatch):
 
     # nothing new: no import, no further snapshot
     assert jm.run_collection(spark, listings(spark, {1: "ab"}), run_ts="20260102T000000Z", **args) is None
-    assert latest_version(spark, state.jobs).endswith("00000001")
+    assert read_commit(spark, state.jobs)[0] == 1
 
     # a failing import leaves the history alone, the next run collects the same again
-    def fail(*_):
+    def fail(*_, **__):
         raise RuntimeError("import failed")
 
     newer = listings(spark, {1: "da", 2: "ab"})
@@ -167,14 +169,61 @@ def test_amount_too_large_is_rejected(spark):
     assert 28 in kept and kept[28] is not None and 38 not in kept
 
 
-def test_incomplete_version_is_ignored(spark, tmp_path):
+def test_table_of_an_earlier_release(spark, tmp_path):
+    """The newest complete version is read, and adopted by the first import."""
     root = str(tmp_path / "t")
-    assert latest_version(spark, root) is None
-    write_version(spark.range(1), root)
+    assert latest_version(spark, root) is None and readers.read_jobs(spark, root).count() == 0
+    old = spark.createDataFrame([(5, "A", "X", "c", "l", 9)], "id long, job_title string, career_category string, company string, location string, salary_min int")
+    old.write.parquet(f"{root}/version=00000001")
     (tmp_path / "t" / "version=00000002").mkdir()
-    assert latest_version(spark, root).endswith("00000001")
-    assert write_version(spark.range(2), root).endswith("00000003")
-    assert spark.read.parquet(latest_version(spark, root)).count() == 2
+    assert latest_version(spark, root).endswith("00000001") and readers.read_jobs(spark, root).first().salary_min == 9
+    new = {f.name: None for f in jm.schemas.CLEAN} | {"job_title": "B", "career_category": "X", "company": "c", "location": "l"}
+    batch = spark.createDataFrame([tuple(new.values())], jm.schemas.CLEAN)
+    assert import_jobs(batch, root) == (1, 2)
+    rows = readers.read_jobs(spark, root).collect()
+    assert {(r.job_title, r.id, r.salary_min) for r in rows} == {("A", 5, 9), ("B", 6, None)}
+
+
+def test_landings_equal_the_whole_history(spark, lookup, tmp_path):
+    """Random landings, cleaned one by one, against cleaning and importing all of them with every run."""
+    rng = random.Random(3)
+    one, full = jm.State(str(tmp_path / "one")), jm.State(str(tmp_path / "full"))
+    titles = ["NURSE", "Nurse", "Welder", "zzz", "", "Sales Associate - x"]
+    for run in range(4):
+        rows = []
+        for pos in range(rng.randrange(1, 25)):
+            url = rng.choice(["", None, *[f"https://x/{i}?q={rng.randrange(3)}" for i in range(12)]])
+            rows.append((run, pos, rng.choice(titles), rng.choice(["ACME", "Globex", None]), rng.choice(["Makati", "EUROPE", None]), rng.choice(["P15,000", "600", "x", None]), url))
+        df = spark.createDataFrame(rows, "page long, pos int, job_title string, company string, location string, salary_text string, job_url string")
+        stamp = f"2026010{run}T000000Z"
+        collected = rng.choice(["2026-01-05T00:00:00+00:00", "2026-01-03T00:00:00+00:00", f"2026-01-0{run + 1}T00:00:00+00:00"])
+        for state in (one, full):
+            writers.land_raw(collect.with_provenance(df, "portal", collected), state.landing, stamp)
+        stats = [tuple(jm.run_landing(spark, lookup, one, stamp).first())]
+        if run == 2:  # a repeated run changes nothing, and one with nothing new is no harm
+            writers.land_raw(collect.with_provenance(df, "portal", collected), one.landing, "20260102T010000Z")
+            writers.land_raw(collect.with_provenance(df, "portal", collected), full.landing, "20260102T010000Z")
+            assert tuple(jm.run_landing(spark, lookup, one, "20260102T010000Z").first())[2] == 0
+            assert tuple(jm.run_landing(spark, lookup, one, stamp).first())[2] == 0
+        clean = jm.run_clean(readers.read_landing(spark, full.landing), lookup, full, readers.LANDING_ORDER, csv=False)
+        stats.append(tuple(jm.run_import(clean, full, stamp).first()))
+        assert stats[0] == stats[1]
+        tables = [readers.read_jobs(spark, s.jobs).drop("created_at") for s in (one, full)]
+        assert sorted(map(repr, tables[0].select(sorted(tables[0].columns)).collect())) == sorted(map(repr, tables[1].select(sorted(tables[1].columns)).collect()))
+        assert sorted(map(repr, jm.clean_table(spark, one).collect())) == sorted(map(repr, clean.select(jm.clean_table(spark, one).columns).collect()))
+        report = {k: v for k, v in spark.read.json(full.report).first().asDict().items() if k != "generated_at"}
+        assert jm.report_table(spark, one).first().asDict() == report
+    ranked = [tuple(r) for r in jm.uncategorized_table(spark, one).collect()]
+    assert ranked == sorted(ranked, key=lambda r: (-r[1], r[0])) and ranked
+
+
+def test_landing_reads_only_the_key_files_it_may_meet(spark, lookup, tmp_path):
+    state = jm.State(str(tmp_path / "state"))
+    args = dict(lookup=lookup, state=state, source="portal")
+    jm.run_collection(spark, listings(spark, {1: [str(i) for i in range(300)]}), run_ts="20260101T000000Z", **args)
+    rows = spark.createDataFrame([("https://j/new",)], "dedup_key string")
+    found = plans_run.stored_keys(spark, state, rows, "none")
+    assert len(found.inputFiles()) > 100 and found.count() < 20
 
 
 def test_place_tables_keep_codes_as_text(spark, tmp_path):
