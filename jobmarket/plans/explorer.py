@@ -57,7 +57,7 @@ def list_jobs(
 
 
 def list_jobs_after(
-    jobs: DataFrame, last_id: int | None = None, filters: JobFilters = JobFilters(), limit: int = DEFAULT_PAGE_SIZE
+    jobs: DataFrame, last_id: int | Column | None = None, filters: JobFilters = JobFilters(), limit: int = DEFAULT_PAGE_SIZE
 ) -> DataFrame:
     """The page that follows the posting ``last_id`` (the first page without one), newest first.
 

@@ -178,16 +178,19 @@ def chart_top_categories(spark, sf):
 
 @query
 def dashboard_panels(spark, sf):
-    """Count and salary panels of the dashboard, as one long table."""
-    panels = jm.dashboard(T.jobs_view(spark, sf))
+    """All panels of the dashboard, as one long table."""
+    measures = ("job_count", "average_salary", "salary_min", "salary_max")
     long = None
-    for name in ("categories", "locations", "regions", "companies", "job_titles", "industries",
-                 "employment_types", "salary_by_category", "salary_distribution"):
-        panel = panels[name]
+    for name, panel in jm.dashboard(T.jobs_view(spark, sf)).items():
+        if name in ("summary", "salary_summary"):  # one row: every column is a measure
+            panel = panel.select(F.explode(F.array(*[F.struct(F.lit(c).alias("label"), F.col(c).cast("double").alias("average_salary")) for c in panel.columns])).alias("m")).select("m.*")
+            panel = panel.withColumn("average_salary", F.round("average_salary", 2))
+        elif name == "filter_options":
+            panel = panel.select(F.concat_ws("|", "facet", "value").alias("label"))
+        given = [F.col(m) if m in panel.columns else F.lit(None) for m in measures]
         rows = panel.select(
-            F.lit(name).alias("panel"), F.col(panel.columns[0]).alias("label"), "job_count",
-            (F.col("average_salary") if "average_salary" in panel.columns else F.lit(None))
-            .cast("double").alias("average_salary"),
+            F.lit(name).alias("panel"), F.col(panel.columns[0]).alias("label"), given[0].cast("long").alias("job_count"),
+            *[c.cast("double").alias(m) for m, c in zip(measures[1:], given[1:])],
         )
         long = rows if long is None else long.unionByName(rows)
     return long
@@ -210,8 +213,10 @@ def jobs_page(spark, sf):
 
 @query
 def jobs_after(spark, sf):
-    """The page after posting 1000, by key."""
-    return texts(list_jobs_after(T.jobs_view(spark, sf), 1000, jm.JobFilters(region="asi"), limit=25))
+    """A page from the middle of the list, by key."""
+    jobs = T.jobs_view(spark, sf)
+    middle = T.table(spark, sf, "orders").agg(F.expr("max(o_orderkey) div 2")).scalar()
+    return texts(list_jobs_after(jobs, middle, jm.JobFilters(region="asi"), limit=25))
 
 
 @query

@@ -399,20 +399,37 @@ def _with(ctes: str, select: str) -> str:
 def oracle_sql() -> dict[str, str]:
     j, ji = JOBS, JOBS_INDUSTRY
     building = "career_category = 'BUILDING' AND derived = 'Trade BUILDING'"
+    one_row = {
+        "summary": SUMMARY + "jobs",
+        "salary_summary": "SELECT round(sum(salary_amount_monthly) / count(*), 2) AS average_salary, min(salary_amount_monthly) AS lowest_salary, "
+        f"max(salary_amount_monthly) AS highest_salary, count(*) AS salary_job_count FROM jobs WHERE {PAID}",
+    }
+    measures = {
+        "summary": ("total_jobs", "total_companies", "total_categories", "total_locations", "total_regions", "jobs_with_salary"),
+        "salary_summary": ("average_salary", "lowest_salary", "highest_salary", "salary_job_count"),
+    }
     panels = " UNION ALL ".join(
-        f"SELECT '{name}' AS panel, {column} AS label, job_count, CAST({average} AS DOUBLE) AS average_salary FROM ({sql})"
-        for name, column, average, sql in (
-            ("categories", "career_category", "NULL", _panel("career_category", 10)),
-            ("locations", "location", "NULL", _panel("location", 10)),
-            ("regions", "region", "NULL", _panel("region")),
-            ("companies", "company", "NULL", _panel("company", 10)),
-            ("job_titles", "job_title", "NULL", _panel("job_title", 10)),
-            ("industries", "industry", "NULL", INDUSTRIES + " ORDER BY job_count DESC, industry LIMIT 10"),
-            ("employment_types", "employment_type", "NULL", _panel("employment_type")),
-            ("salary_by_category", "career_category", "average_salary", _salaries()),
-            ("salary_distribution", "salary_range", "NULL",
-             f"SELECT {BUCKET} AS salary_range, count(*) AS job_count FROM jobs WHERE {PAID} GROUP BY 1"),
-        )
+        [
+            f"SELECT '{name}' AS panel, {label} AS label, CAST({n} AS BIGINT) AS job_count, CAST({average} AS DOUBLE) AS average_salary, "
+            f"CAST({low} AS DOUBLE) AS salary_min, CAST({high} AS DOUBLE) AS salary_max FROM ({sql})"
+            for name, label, n, average, low, high, sql in (
+                ("categories", "career_category", "job_count", "NULL", "NULL", "NULL", _panel("career_category", 10)),
+                ("locations", "location", "job_count", "NULL", "NULL", "NULL", _panel("location", 10)),
+                ("regions", "region", "job_count", "NULL", "NULL", "NULL", _panel("region")),
+                ("companies", "company", "job_count", "NULL", "NULL", "NULL", _panel("company", 10)),
+                ("job_titles", "job_title", "job_count", "NULL", "NULL", "NULL", _panel("job_title", 10)),
+                ("industries", "industry", "job_count", "NULL", "NULL", "NULL", INDUSTRIES + " ORDER BY job_count DESC, industry LIMIT 10"),
+                ("employment_types", "employment_type", "job_count", "NULL", "NULL", "NULL", _panel("employment_type")),
+                ("salary_by_category", "career_category", "job_count", "average_salary", "NULL", "NULL", _salaries()),
+                ("salary_distribution", "salary_range", "job_count", "NULL", "NULL", "NULL",
+                 f"SELECT {BUCKET} AS salary_range, count(*) AS job_count FROM jobs WHERE {PAID} GROUP BY 1"),
+                ("salary_range_by_category", "career_category", "job_count", "average_salary", "salary_min", "salary_max", _salaries()),
+                ("filter_options", "facet || '|' || value", "NULL", "NULL", "NULL", "NULL", OPTIONS),
+            )
+        ]
+        + [
+            f"SELECT '{name}', '{m}', NULL, CAST({m} AS DOUBLE), NULL, NULL FROM ({sql})" for name, sql in one_row.items() for m in measures[name]
+        ]
     )
     first_import = (
         f"first AS (SELECT * , row_number() OVER (ORDER BY {_ORDER}) AS id FROM "
@@ -452,6 +469,41 @@ def oracle_sql() -> dict[str, str]:
         "strftime(date_posted, '%Y-%m-%d') AS date_posted, employment_type, education_requirement, industry, description, source, "
         f"job_url, {_STAMP.format('collected_at')} AS collected_at FROM jobs"
     )
+    older_table = f"""SELECT f.id, {', '.join('f.' + c for c in KEYS.split(', '))}, CASE WHEN b.job_url IS NOT NULL THEN b.region ELSE f.region END AS region,
+      f.id * 10 AS salary_min, b.job_url, NULL AS created_at FROM first f LEFT JOIN batch b ON {_SAME.format('f', 'b')}
+      UNION ALL
+      SELECT (SELECT max(id) FROM first) + row_number() OVER (ORDER BY {_ORDER}), {KEYS}, region, NULL, job_url, '2026-02-02 00:00:00'
+      FROM batch b WHERE NOT EXISTS (SELECT 1 FROM first f WHERE {_SAME.format('f', 'b')})"""
+    clean_rows = _with(
+        CLEAN,
+        "SELECT job_title, career_category, title_match_method, company, location, region, salary_period, salary_disclosed, currency, "
+        "strftime(o_orderdate, '%Y-%m-%d') AS date_posted, employment_type, education_requirement, source, job_url, "
+        f"{_STAMP.format('o_orderdate')} AS collected_at, salary_amount, salary_period_inferred, salary_outlier, salary_period_used, "
+        "salary_period_estimated, salary_amount_monthly FROM numbered WHERE rn = 1",
+    )
+    quality = _with(
+        CLEAN,
+        """SELECT count(*) AS total_records, count(*) FILTER (WHERE rn > 1) AS duplicate_records,
+        count(*) FILTER (WHERE NOT salary_disclosed) AS missing_salaries, count(*) FILTER (WHERE company IS NULL) AS missing_company,
+        count(*) FILTER (WHERE location = 'Unknown') AS missing_locations,
+        count(*) FILTER (WHERE region IS NULL AND location NOT IN ('Unknown', 'Remote')) AS unmapped_locations,
+        count(*) FILTER (WHERE region = 'Ambiguous') AS ambiguous_locations, count(*) FILTER (WHERE region = 'Overseas') AS overseas_postings,
+        count(*) FILTER (WHERE job_title = '') AS missing_titles, count(*) FILTER (WHERE career_category = 'Uncategorized') AS uncategorized_titles,
+        count(*) FILTER (WHERE title_match_method LIKE 'fuzzy%') AS fuzzy_matched_titles,
+        count(*) FILTER (WHERE salary_period_inferred = 'daily') AS salary_period_inferred_daily,
+        count(*) FILTER (WHERE salary_period_inferred = 'weekly') AS salary_period_inferred_weekly,
+        count(*) FILTER (WHERE salary_period_inferred = 'monthly') AS salary_period_inferred_monthly,
+        count(*) FILTER (WHERE salary_period_inferred = 'ambiguous') AS salary_period_ambiguous,
+        count(*) FILTER (WHERE salary_outlier) AS salary_outliers_flagged,
+        count(*) FILTER (WHERE salary_amount_monthly IS NOT NULL) AS salary_records_monthly_normalized,
+        count(*) FILTER (WHERE salary_period_estimated) AS salary_records_period_estimated,
+        count(*) FILTER (WHERE rn = 1 AND job_title <> '' AND company IS NOT NULL AND location <> 'Unknown') AS valid_records
+        FROM numbered""",
+    )
+    uncategorized = _with(
+        POSTINGS + "," + _titled("postings"),
+        "SELECT job_title, count(*) AS count FROM titled WHERE career_category = 'Uncategorized' GROUP BY 1",
+    )
     return {
         "summary": _with(j, SUMMARY + "jobs"),
         "summary_filtered": _with(ji, SUMMARY + f"ji WHERE {building}"),
@@ -507,7 +559,7 @@ def oracle_sql() -> dict[str, str]:
         "dashboard_panels": _with(ji, panels),
         "dashboard_summary": _with(j, SUMMARY + "jobs WHERE region = 'ASIA'"),
         "jobs_page": _with(j, f"{listed} WHERE region ILIKE '%asi%' ORDER BY id DESC LIMIT 25 OFFSET 50"),
-        "jobs_after": _with(j, f"{listed} WHERE region ILIKE '%asi%' AND id < 1000 ORDER BY id DESC LIMIT 25"),
+        "jobs_after": _with(j, f"{listed} WHERE region ILIKE '%asi%' AND id < (SELECT max(o_orderkey) // 2 FROM orders) ORDER BY id DESC LIMIT 25"),
         "jobs_offset": _with(
             j, DISPLAY + f"(SELECT * FROM jobs WHERE {_search('WIDGET')} ORDER BY id DESC LIMIT 30 OFFSET 15)"
         ),
@@ -608,10 +660,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "title_rules": r"""SELECT p_partkey, CASE WHEN regexp_matches(p_name, '\bcold\b|\bblue\b') THEN 'Cold'
             WHEN regexp_matches(p_name, '\bring\b|rod') THEN 'Round' ELSE 'Uncategorized' END AS category FROM part""",
-        "uncategorized_rank": _with(
-            POSTINGS + "," + _titled("postings"),
-            "SELECT job_title, count(*) AS count FROM titled WHERE career_category = 'Uncategorized' GROUP BY 1",
-        ),
+        "uncategorized_rank": uncategorized,
         "lookup_build": _with(PLACES, "SELECT kind, key, location, region FROM lookup"),
         "lookup_statistics": _with(
             PLACES,
@@ -623,33 +672,36 @@ def oracle_sql() -> dict[str, str]:
             "SELECT posting_id, coalesce(located.location, 'Unknown') AS location, located.region FROM postings "
             "LEFT JOIN located ON trim(postings.location) = located.raw",
         ),
-        "clean_rows": _with(
-            CLEAN,
-            "SELECT job_title, career_category, title_match_method, company, location, region, salary_period, salary_disclosed, currency, "
-            "strftime(o_orderdate, '%Y-%m-%d') AS date_posted, employment_type, education_requirement, source, job_url, "
-            f"{_STAMP.format('o_orderdate')} AS collected_at, salary_amount, salary_period_inferred, salary_outlier, salary_period_used, "
-            "salary_period_estimated, salary_amount_monthly FROM numbered WHERE rn = 1",
+        "clean_rows": clean_rows,
+        "quality_report": quality,
+        "upsert_snapshot": _with(REPEATS + ", " + first_import, upsert),
+        "upsert_buckets": _with(REPEATS + ", " + first_import, upsert),
+        "upsert_older_table": _with(REPEATS + ", " + first_import, older_table),
+        "import_rejects": _with(REPEATS, "SELECT job_url, job_title, company FROM repeats WHERE company IS NULL OR job_title IS NULL"),
+        "raw_arrays": _with(
+            POSTINGS,
+            "SELECT CAST(row_number() OVER (PARTITION BY posting_id // 2000 ORDER BY posting_id) - 1 AS INT) AS ord, job_title, salary_text, salary, "
+            "company, employer, organization, location, education_requirement, date_posted, job_url FROM postings",
         ),
-        "quality_report": _with(
-            CLEAN,
-            """SELECT count(*) AS total_records, count(*) FILTER (WHERE rn > 1) AS duplicate_records,
-            count(*) FILTER (WHERE NOT salary_disclosed) AS missing_salaries, count(*) FILTER (WHERE company IS NULL) AS missing_company,
-            count(*) FILTER (WHERE location = 'Unknown') AS missing_locations,
-            count(*) FILTER (WHERE region IS NULL AND location NOT IN ('Unknown', 'Remote')) AS unmapped_locations,
-            count(*) FILTER (WHERE region = 'Ambiguous') AS ambiguous_locations, count(*) FILTER (WHERE region = 'Overseas') AS overseas_postings,
-            count(*) FILTER (WHERE job_title = '') AS missing_titles, count(*) FILTER (WHERE career_category = 'Uncategorized') AS uncategorized_titles,
-            count(*) FILTER (WHERE title_match_method LIKE 'fuzzy%') AS fuzzy_matched_titles,
-            count(*) FILTER (WHERE salary_period_inferred = 'daily') AS salary_period_inferred_daily,
-            count(*) FILTER (WHERE salary_period_inferred = 'weekly') AS salary_period_inferred_weekly,
-            count(*) FILTER (WHERE salary_period_inferred = 'monthly') AS salary_period_inferred_monthly,
-            count(*) FILTER (WHERE salary_period_inferred = 'ambiguous') AS salary_period_ambiguous,
-            count(*) FILTER (WHERE salary_outlier) AS salary_outliers_flagged,
-            count(*) FILTER (WHERE salary_amount_monthly IS NOT NULL) AS salary_records_monthly_normalized,
-            count(*) FILTER (WHERE salary_period_estimated) AS salary_records_period_estimated,
-            count(*) FILTER (WHERE rn = 1 AND job_title <> '' AND company IS NOT NULL AND location <> 'Unknown') AS valid_records
-            FROM numbered""",
+        "landing_round_trip": _with(
+            POSTINGS,
+            "SELECT CASE WHEN posting_id // 50 % 2 = 0 THEN '20260101T000000Z' ELSE '20260102T000000Z' END AS run_ts, 'orders' AS landed_from, "
+            "posting_id // 50 AS page, CAST(posting_id % 50 AS INT) AS pos, job_title, salary_text, company, location, job_url FROM postings",
         ),
-        "upsert_snapshot": _with(REPEATS + ", " + first_import, upsert),
+        # a CSV file doesn't tell an empty text from none
+        "clean_csv": f"SELECT * REPLACE (nullif(job_title, '') AS job_title, nullif(job_url, '') AS job_url) FROM ({clean_rows})",
+        "landings_report": quality,
+        "landings_jobs": _with(
+            CLEAN + f""",
+            kept AS (SELECT *, row_number() OVER (PARTITION BY {KEYS} ORDER BY o_orderdate DESC, job_url DESC NULLS LAST) AS latest
+              FROM numbered WHERE rn = 1 AND company IS NOT NULL AND job_title IS NOT NULL)""",
+            f"SELECT {KEYS}, region, salary_amount, salary_amount_monthly, job_url, {_STAMP.format('o_orderdate')} AS collected_at FROM kept WHERE latest = 1",
+        ),
+        "uncategorized_csv": f"SELECT nullif(job_title, '') AS job_title, count FROM ({uncategorized})",
+        "seen_commits": _with(EVENTS, "SELECT DISTINCT job_url FROM listings"),
+        "lookup_from_csv": _with(PLACES, "SELECT kind, key, location, region FROM lookup"),
+        "lookup_renamed": _with(PLACES, "SELECT kind, key, location, CASE WHEN region = 'ASIA' THEN 'BARMM' ELSE region END AS region FROM lookup"),
+        "jobs_sanitized": _with(j, f"{listed} ORDER BY id DESC LIMIT 100"),
         "import_counts": _with(
             REPEATS,
             f"SELECT b AS before, a AS after, a - b AS inserted FROM (SELECT (SELECT count(*) FROM {_latest('true')}) AS a, "

@@ -26,7 +26,8 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = part.agg(F.count("*")).scalar()
     return (
         table(spark, sf_dir, "orders")
-        .repartition("o_orderkey")  # titles and salaries cost far more per row than this shuffle
+        # titles and salaries cost far more per row than this shuffle; a number, or few rows would end in one task
+        .repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
         .withColumn("p_partkey", F.col("o_orderkey") % parts)
         .join(part, "p_partkey")
         .join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))

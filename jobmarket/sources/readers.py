@@ -48,12 +48,18 @@ def read_clean_csv(spark: SparkSession, path: str) -> DataFrame:
 def read_psgc(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
     """Code and description of one place table; codes stay text, zeros included.
 
+    ``ord`` is the place of a row in the files, as of equal names the last one counts.
     Only the header tells the column order, so it is read as text and selected by name.
     """
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("row"),
+    )
     return (
         spark.read.options(header=True, encoding=encoding, inferSchema=False)
         .csv(path)
-        .select("code", "description")
+        .select("code", "description", place.alias("ord"))
     )
 
 

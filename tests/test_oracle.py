@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import __spark_entry__ as entry  # noqa: E402
 import check  # noqa: E402
-from jobmarket.registry.queries import QUERIES  # noqa: E402
+from jobmarket.registry.stored import QUERIES  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 

@@ -229,4 +229,4 @@ def test_landing_reads_only_the_key_files_it_may_meet(spark, lookup, tmp_path):
 def test_place_tables_keep_codes_as_text(spark, tmp_path):
     path = tmp_path / "p.csv"
     path.write_bytes("id,code,description\n1,012345000,Peñablanca\n".encode("cp1252"))
-    assert tuple(readers.read_psgc(spark, str(path)).first()) == ("012345000", "Peñablanca")
+    assert tuple(readers.read_psgc(spark, str(path)).drop("ord").first()) == ("012345000", "Peñablanca")
