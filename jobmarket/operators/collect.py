@@ -15,9 +15,12 @@ def _nonblank(url: str) -> Column:
 
 
 def only_unseen(listings: DataFrame, seen: DataFrame, url: str = "job_url") -> DataFrame:
-    """Listings with an address that history does not hold; repeats survive."""
-    history = seen.select(F.col("job_url").alias(url)).distinct()
-    return listings.where(_nonblank(url)).join(history, url, "left_anti")
+    """Listings with an address that history does not hold; repeats survive.
+
+    An address listed very often is looked up apart, so no task gets all of its rows.
+    """
+    history = seen.select(F.col("job_url").alias(url)).distinct().withColumn("_known", F.lit(True))
+    return lookup_join(listings.where(_nonblank(url)), history, url).where("_known IS NULL").drop("_known")
 
 
 def _pairs(listings: DataFrame, page: str, url: str) -> DataFrame:
@@ -34,7 +37,10 @@ def _addresses(pairs: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def _page_flags(pairs: DataFrame, addresses: DataFrame) -> DataFrame:
-    """Per page: listings, new listings, and whether it has addresses, first ones, and ones unknown to history."""
+    """Per page: listings, new listings, and whether it has addresses, first ones, and ones unknown to history.
+
+    Nothing stands between the shuffle of the pairs and this join, so adaptive execution can split an address on very many pages.
+    """
     first = F.col("first") == F.col("page")
     return pairs.join(addresses, "url", "left").groupBy("page").agg(
         F.sum("n").alias("listings"),

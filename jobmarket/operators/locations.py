@@ -256,8 +256,10 @@ def location_dimension(raw_locations: DataFrame, lookup: DataFrame, column: str
         "raw_location", "postings", "_direct", "_cleaned",
         F.posexplode_outer(tries).alias("_rank", "_try"),
     ).select("raw_location", "postings", "_direct", "_cleaned", "_rank", "_try.*")
-    known = lookup.select("kind", "key", F.col("location").alias("_name"), "region")
-    matched = probed.join(known.withColumn("_hit", F.lit(True)), ["kind", "key"], "left")
+    # a town that very many texts name is looked up apart, so no task gets all of its probes
+    probe = F.concat("kind", F.lit("|"), "key").alias("_probe_key")
+    known = lookup.select(probe, F.col("location").alias("_name"), "region", F.lit(True).alias("_hit"))
+    matched = lookup_join(probed.select("*", probe), known, "_probe_key")
     found = F.struct(
         F.coalesce(title_case("shown"), F.col("_name")).alias("location"),
         F.when(F.col("kind") == "ambiguous", P.AMBIGUOUS).otherwise(F.col("region")).alias("region"),

@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: a key is hot when it holds more than one in this many rows, so there are fewer hot keys
+#: least number of hot keys, and of keys that rows without a regular lookup are spread over
 HOT_SHARE = 100
-#: distinct keys that rows without a regular lookup are spread over
 SPREAD = 4096
 
 
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def hot_keys(counts: DataFrame, key: str, rows: str = "rows") -> DataFrame:
-    """Keys holding more than ``1 / HOT_SHARE`` of all rows: fewer than ``HOT_SHARE`` keys."""
+    """Keys holding more than half of a task's share of all rows: fewer than twice as many keys as there are tasks."""
     total = counts.agg(F.sum(rows)).scalar()
-    return counts.where(F.col(rows) * HOT_SHARE > total).select(key)
+    return counts.where(F.col(rows) * max(HOT_SHARE, 2 * _tasks(counts)) > total).select(key)
 
 
 def count_keys(facts: DataFrame, key: str) -> DataFrame:
@@ -25,7 +28,7 @@ def count_keys(facts: DataFrame, key: str) -> DataFrame:
 def lookup_join(facts: DataFrame, dim: DataFrame, key: str, hot: DataFrame | None = None) -> DataFrame:
     """``facts`` left-joined with ``dim``, which is unique on the text column ``key``.
 
-    Hot keys are looked up in a broadcast table of at most ``HOT_SHARE`` rows.  Their
+    Hot keys are looked up in a broadcast table, bounded as :func:`hot_keys` says.  Their
     rows, and rows without a key, then enter the regular join under keys that match
     nothing and depend on the whole row, which spreads them over all tasks.
     """
@@ -37,7 +40,7 @@ def lookup_join(facts: DataFrame, dim: DataFrame, key: str, hot: DataFrame | Non
         F.col(key).alias("_hot_key"), F.col("_value").alias("_hot_value")
     )
     regular = packed.select(F.col(key).alias("_cold_key"), F.col("_value").alias("_cold_value"))
-    spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*facts.columns), F.lit(SPREAD)).cast("string"))
+    spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*facts.columns), F.lit(max(SPREAD, 16 * _tasks(facts)))).cast("string"))
     apart = F.col("_hot_key").isNotNull() | F.col(key).isNull()
     joined = (
         facts.join(F.broadcast(hot_values), F.col(key) == F.col("_hot_key"), "left")

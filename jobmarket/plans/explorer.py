@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobmarket.functions.text import blank_to_null
@@ -15,6 +15,10 @@ from jobmarket.schemas import LISTING_COLUMNS
 
 DEFAULT_PAGE_SIZE = 20
 LARGEST_PAGE = 100
+#: an offset from which on the rows before it are counted instead of sorted
+DEEP = 1000
+#: ids that are counted together
+ID_RANGE = 1 << 16
 
 
 def safe_page(page) -> int:
@@ -48,14 +52,30 @@ def list_jobs(
     """Newest postings first; an explicit ``offset`` wins over ``page``.
 
     A limit above :data:`LARGEST_PAGE` is lowered to it, and anything that is no number of at
-    least 1 means the default.  Use :func:`list_jobs_after` to go deep into a long list.
+    least 1 means the default.  For a page deep in the list the wanted rows are counted per range of
+    ids first, over the filters' columns only; then the rows of the ranges that hold the page are read and
+    sorted, and none before them.  :func:`list_jobs_after` needs no count.
     """
     size = safe_limit(limit)
     start = (safe_page(page) - 1) * size if offset is None else max(0, offset)
+    if start >= DEEP:
+        return _deep_page(jobs, filters, start, size)
     wanted = filters.apply(jobs).select(*LISTING_COLUMNS)
     return wanted.orderBy(F.desc("id")).offset(start).limit(size)
 
 
+def _deep_page(jobs: DataFrame, filters: JobFilters, start: int, size: int) -> DataFrame:
+    """Rows ``start + 1`` to ``start + size`` of the list, from the ranges of ids that hold them."""
+    counts = filters.apply(jobs).groupBy(F.expr(f"id div {ID_RANGE}").alias("part")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.orderBy(F.desc("part")))  # one row per range
+    held = counts.select("part", (upto - F.col("n")).alias("before"), upto.alias("upto")).where((F.col("upto") > start) & (F.col("before") < start + size))
+    ends = held.agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min("before").alias("before"))
+    low, high, before = (ends.select(c).scalar() for c in ("low", "high", "before"))
+    near = filters.apply(jobs.where((F.col("id") >= low * ID_RANGE) & (F.col("id") < (high + 1) * ID_RANGE))).select(*LISTING_COLUMNS)
+    place = F.row_number().over(Window.orderBy(F.desc("id"))) + before  # over the rows of these ranges
+    return near.withColumn("_place", place).where((F.col("_place") > start) & (F.col("_place") <= start + size)).orderBy("_place").drop("_place")
+
+
 def list_jobs_after(
     jobs: DataFrame, last_id: int | Column | None = None, filters: JobFilters = JobFilters(), limit: int = DEFAULT_PAGE_SIZE
 ) -> DataFrame:

@@ -211,6 +211,12 @@ def jobs_page(spark, sf):
     return texts(page)
 
 
+@query
+def jobs_deep_page(spark, sf):
+    """A page beyond a thousand rows."""
+    return texts(jm.list_jobs(T.jobs_view(spark, sf), page=11, limit=100))
+
+
 @query
 def jobs_after(spark, sf):
     """A page from the middle of the list, by key."""

@@ -559,6 +559,7 @@ def oracle_sql() -> dict[str, str]:
         "dashboard_panels": _with(ji, panels),
         "dashboard_summary": _with(j, SUMMARY + "jobs WHERE region = 'ASIA'"),
         "jobs_page": _with(j, f"{listed} WHERE region ILIKE '%asi%' ORDER BY id DESC LIMIT 25 OFFSET 50"),
+        "jobs_deep_page": _with(j, f"{listed} ORDER BY id DESC LIMIT 100 OFFSET 1000"),
         "jobs_after": _with(j, f"{listed} WHERE region ILIKE '%asi%' AND id < (SELECT max(o_orderkey) // 2 FROM orders) ORDER BY id DESC LIMIT 25"),
         "jobs_offset": _with(
             j, DISPLAY + f"(SELECT * FROM jobs WHERE {_search('WIDGET')} ORDER BY id DESC LIMIT 30 OFFSET 15)"

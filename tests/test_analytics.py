@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import jobmarket as jm
 from jobmarket.functions.industry import DERIVED, with_industry
+from jobmarket.plans import explorer
 from jobmarket.plans.explorer import safe_limit, safe_page
 from jobmarket.registry.tables import jobs_view
 from jobmarket.schemas import JOBS, LISTING_COLUMNS
@@ -156,3 +157,28 @@ def test_chart_shapes(spark):
     assert jm.chart_data(jm.get_salary_distribution(jobs)).columns == ["name", "jobs"]
     assert jm.chart_data(jm.get_employment_types(jobs)).columns == ["name", "value"]
     assert values(jm.filter_list(jobs, "regions").select(F.min("value")))[0][0] == "AFRICA"
+
+
+@pytest.mark.parametrize("in_range", [7, 64, 1 << 16])
+def test_deep_pages(spark, monkeypatch, in_range):
+    """Pages from counted ranges of ids hold the rows that sorting everything gives."""
+    monkeypatch.setattr(explorer, "ID_RANGE", in_range)
+    jobs = jobs_view(spark, SF).where("id % 3 <> 1")
+    wanted = jm.JobFilters(region="asi")
+    ids = [r.id for r in wanted.apply(jobs).select("id").orderBy(F.desc("id")).collect()]
+    pages = {start: jm.list_jobs(jobs, wanted, offset=start, limit=30) for start in (0, 29, 100, len(ids) - 10, len(ids) + 5)}
+    monkeypatch.setattr(explorer, "DEEP", 0)
+    for start, plain in pages.items():
+        deep = jm.list_jobs(jobs, wanted, offset=start, limit=30)
+        assert deep.columns == plain.columns
+        assert [r.id for r in deep.collect()] == [r.id for r in plain.collect()] == ids[start : start + 30]
+    assert jm.list_jobs(jobs.limit(0), offset=5000).count() == 0
+
+
+def test_deep_page_of_a_stored_table(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(explorer, "ID_RANGE", 50)
+    path = str(tmp_path / "jobs")
+    jobs_view(spark, SF).repartitionByRange(20, "id").sortWithinPartitions("id").write.parquet(path)
+    jobs = spark.read.parquet(path)
+    page = jm.list_jobs(jobs, page=13, limit=100)
+    assert [r.id for r in page.collect()] == [r.id for r in jobs.select("id").orderBy(F.desc("id")).offset(1200).limit(100).collect()]

@@ -31,3 +31,26 @@ def test_no_partition_gets_a_third(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert sum(sizes) == 30000 and max(sizes) < 9000  # 7500 on average over four
+
+
+def test_address_on_a_third_of_the_pages(spark):
+    """No task of the search for new listings gets much more than its share, and the page flags are right."""
+    from jobmarket.operators import collect
+
+    rows = [(p, 0, "everywhere") for p in range(0, 9000, 3)] + [(p, 1, f"u{p}") for p in range(9000)]
+    listings = spark.createDataFrame(rows, "page long, pos int, job_url string")
+    seen = spark.createDataFrame([(f"u{p}",) for p in range(0, 9000, 2)], "job_url string")
+    changed = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in changed}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    try:
+        new = only = collect.only_unseen(listings, seen)
+        unseen = sorted(r[1] for r in new.groupBy(F.spark_partition_id()).count().collect())
+        assert only.count() == 3000 + 4500
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert unseen[-1] < 2 * unseen[len(unseen) // 2]
+    flags = {r.page: r for r in collect.page_statistics(listings, seen).collect()}
+    assert (flags[0].new_listings, flags[3].listings, flags[3].new_listings, flags[1].new_listings, flags[2].new_listings) == (1, 2, 1, 1, 0)
