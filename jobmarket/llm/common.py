@@ -2,33 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import gc
 import uuid
-import zipfile
 from functools import wraps
-from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from jobmarket.session import shared_dir
+from jobmarket.session import shared_dir, ship
 
 #: most rows of a table that is sent to every executor
 BROADCAST_ROWS = 10_000
-
-
-def ship(spark: SparkSession) -> None:
-    """Send the sources of this library to the executors, once per application; their Python workers import it."""
-    context = spark.sparkContext
-    if getattr(context, "_jobmarket_shipped", False):
-        return
-    package = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="jobmarket-")) / "jobmarket.zip"
-    with zipfile.ZipFile(archive, "w") as out:
-        for file in sorted(package.rglob("*.py")):
-            out.write(file, file.relative_to(package.parent))
-    context.addPyFile(str(archive))
-    context._jobmarket_shipped = True
+#: most tasks that shards or ranges are dealt to
+MOST_TASKS = 20_000
 
 
 def shipping(run):
@@ -122,6 +110,24 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
+def returning(run):
+    """A kernel over record batches, after whose end a Python worker returns the memory it has freed.
+
+    Workers are reused by later tasks; without this every one keeps the most that any task has held.
+    """
+
+    @wraps(run)
+    def returned(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+
+    return returned
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobmarket.llm.common import table, text_or_empty
+from jobmarket.llm.common import returning, table, text_or_empty
 
 #: labelled documents used for training: at most so many of each label, chosen by a hash of their id
 TRAIN_DOCS = 2000
@@ -278,7 +278,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, threshold: fl
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(returning(run), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, model: tuple[np.ndarray, float] | None, threshold: float = THRESHOLD) -> DataFrame:
@@ -292,7 +292,7 @@ def keep_clean(docs: DataFrame, model: tuple[np.ndarray, float] | None, threshol
             clean = [x < threshold for x in scorer.score_all(batch.column(at))] if scorer else [True] * batch.num_rows
             yield batch.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(returning(run), docs.schema)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

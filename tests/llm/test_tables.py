@@ -2,15 +2,20 @@
 
 import gzip
 import hashlib
+import math
+import sys
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
 import pytest
 
-import corpus_pipeline
-from jobmarket.llm import multiindex, warc
-from jobmarket.llm.common import work_path
-from jobmarket.llm.registry import QUERIES
+sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
+
+import corpus_pipeline  # noqa: E402
+from jobmarket.llm import multiindex, warc  # noqa: E402
+from jobmarket.llm.common import work_path  # noqa: E402
+from jobmarket.llm.registry import QUERIES  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -114,27 +119,77 @@ def test_warc_of_no_pages(spark, pages):
     assert manifest.count() == 0 and warc.read_warc(manifest, root).count() == 0
 
 
+def brute_force_pipeline(rows, rejected):
+    """(doc_id, text) of every row the pipeline's mix holds, from (doc_id, text, source)."""
+    from test_jaccard import kept
+
+    rows = [r for r in rows if r[0] not in rejected]
+    left = set(kept([(d, t) for d, t, _ in rows if d is not None]))
+    rows = [r for r in rows if r[0] is None or r[0] in left]
+    words = [(d, (t or "").encode().split()) for d, t, _ in rows]
+    first = {}
+    for d, w in words:
+        if d is not None:
+            for i in range(len(w) - 12):
+                key = tuple(w[i : i + 13])
+                first[key] = min(d, first.get(key, d))
+    texts = []
+    for d, w in words:
+        gone = {j for i in range(len(w) - 12) if d is not None and first[tuple(w[i : i + 13])] < d for j in range(i, i + 13)}
+        texts.append([x for j, x in enumerate(w) if j not in gone] if gone else None)
+    sources = Counter(s for *_, s in rows)
+    out = []
+    for (d, t, s), changed in zip(rows, texts):
+        rate = len(rows) / len(sources) / sources[s]
+        parts = max(1, math.ceil(rate / 16))
+        cdf = np.cumsum([math.exp(-rate / parts) * (rate / parts) ** k / math.factorial(k) for k in range(101)])
+        name = "null" if d is None else str(d)
+        draws = [int(hashlib.md5(f"mix:{name}:{i}".encode()).hexdigest()[:8], 16) / 2**32 for i in range(1, parts + 1)]
+        text = (t or "") if changed is None else b" ".join(changed).decode()
+        out += [(d, text)] * sum(int((cdf <= u).sum()) for u in draws)
+    return out
+
+
+def pipeline_rows(spark, sf):
+    from jobmarket.llm import toxicity
+
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rejected = {r.doc_id for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect() if r.predicted}
+    return brute_force_pipeline([(r.doc_id, r.text, r.source) for r in docs.collect()], rejected)
+
+
 def test_pipeline(spark):
-    from jobmarket.llm import mixing, simhash, substrings, toxicity
+    from jobmarket.llm.bpe import Encoder, default_path
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    labels = spark.read.parquet(f"{SF}/labels.parquet")
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "n_tokens", "ids", "decoded"]
-    # the same decisions, taken one by one on collected rows
-    scored = {r.doc_id: r.predicted for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
-    clean = docs.where(~docs.doc_id.isin([d for d, p in scored.items() if p]))
-    kept = [r.doc_id for r in simhash.near_duplicates(clean).collect() if r.doc_id == r.component_id]
-    unique = clean.where(clean.doc_id.isin(kept))
-    cut = {r.doc_id: r.text for r in substrings.remove_repeats(unique).collect()}
-    copies = {r.doc_id: r["count"] for r in mixing.mix(unique).groupBy("doc_id").count().collect()}
-    rows = out.collect()
-    assert {d: sum(r.doc_id == d for r in rows) for d in copies} == copies and len(rows) == sum(copies.values())
-    from jobmarket.llm.bpe import Encoder, default_path
+    encoder, want = Encoder(default_path()), pipeline_rows(spark, SF)
+    ids = encoder.encode_all([t for _, t in want])
+    got = [(r.doc_id, r.n_tokens, list(r.ids), r.decoded) for r in out.collect()]
+    assert sorted(got) == sorted((d, len(i), i, encoder.decode(i)) for (d, _), i in zip(want, ids))
+
 
-    encoder = Encoder(default_path())
-    for r in rows[:60]:
-        assert list(r.ids) == encoder.encode_all([cut[r.doc_id]])[0]
+def test_pipeline_edges(spark, tmp_path):
+    """Null and empty texts and ids, repeated rows, columns with the operators' own names, and an empty table."""
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [
+        (None, "no id " + passage, "a"), (1, None, "a"), (2, "", "b"), (3, " \t\n", None), (4, passage, "b"), (5, "start " + passage + " end", "b"),
+        (5, "start " + passage + " end", "b"), (6, "one two", None), (7, "One  two", "c"), (8, "x " * 20_000, "c"),
+    ]
+    names = "copies copy shuffle_key found kept mark node size root component_id score n_words rate key".split()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "'en' AS lang", "1L AS n_chars", *[f"'?{n}' AS {n}" for n in names])
+    labels = spark.createDataFrame([(4, 0, 0), (6, 1, 0)], "doc_id long, quality int, toxic int")
+    for name, df, want in (("some", docs, rows), ("none", docs.limit(0), [])):
+        sf = str(tmp_path / name)
+        df.write.parquet(f"{sf}/documents.parquet")
+        labels.write.parquet(f"{sf}/labels.parquet")
+        stage = df
+        for step, run in corpus_pipeline.STAGES[:-1]:
+            stage = run(spark, stage, sf)
+            assert stage.columns == df.columns, step
+        assert all(r[n] == f"?{n}" for r in stage.collect() for n in names)
+        got = corpus_pipeline.run(spark, sf).select("doc_id", "n_tokens").collect()
+        assert Counter(r.doc_id for r in got) == Counter(d for d, _ in brute_force_pipeline(want, set()))
 
 
 def test_queries_are_complete():
