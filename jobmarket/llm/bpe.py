@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from jobmarket.llm.common import table
+from jobmarket.llm.common import returning, table
 
 #: words a worker remembers before it starts anew
 REMEMBERED = 300_000
@@ -157,6 +157,11 @@ class Encoder:
                 token = last[end]
             self.known[word] = tuple(reversed(tokens))
 
+    def forget(self) -> None:
+        """Give up what was remembered of words, before the worker turns to other tasks."""
+        self.known.clear()
+        self.valid.clear()
+
     def _spelled(self, word: str) -> str:
         return word if word.isascii() and word.isprintable() else "".join(map(self.characters.__getitem__, word.encode()))
 
@@ -214,13 +219,12 @@ def encode(docs: DataFrame, path: str | None = None, ids: bool = True, decoded:
     Whole texts are encoded; a null text counts as empty and gives no tokens.  Row for row: repeated
     rows repeat, an empty table gives an empty result, other columns are ignored.
     """
-    path = path or default_path()
     fields = [("doc_id", docs.schema["doc_id"].dataType.simpleString()), ("n_tokens", "long")]
     fields += [("ids", "array<int>")] * ids + [("decoded", "string")] * decoded
     fields += [("ids_sha256", "string"), ("decoded_sha256", "string")] * digests
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kernel = encoder(path)
+        kernel = encoder(path or default_path())  # the workers' own file
         digits = [str(i) for i in range(max(kernel.names) + 1)]
         for batch in batches:
             at = 0
@@ -238,8 +242,9 @@ def encode(docs: DataFrame, path: str | None = None, ids: bool = True, decoded:
                     for spell in (lambda x: " ".join([digits[i] for i in x]), kernel.decode):
                         columns.append(pa.array([hashlib.sha256(spell(x).encode()).hexdigest() for x in encoded]))
                 yield pa.RecordBatch.from_arrays(columns, [name for name, _ in fields])
+        kernel.forget()
 
-    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{n} {t}" for n, t in fields))
+    return docs.select("doc_id", "text").mapInArrow(returning(run), ", ".join(f"{n} {t}" for n, t in fields))
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
