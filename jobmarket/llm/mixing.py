@@ -8,7 +8,7 @@ Copies are then put into an order drawn from a hash of seed, doc_id and copy num
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from jobmarket.llm.common import by_bounded, staged, table
@@ -17,6 +17,8 @@ from jobmarket.llm.common import by_bounded, staged, table
 PART = 16.0
 #: terms of the distribution of one part; the tail beyond is below 1e-30
 TERMS = 100
+#: parts of a document that are drawn together; more are dealt out
+PIECE = 64
 
 
 def source_rates(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
@@ -62,22 +64,43 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: str = "m
     """
     spark = docs.sparkSession
     kept = docs.drop("copies", "copy", "shuffle_key")
-    rates = staged(source_rates(docs, weights))
+    rates = staged(source_rates(docs, weights)).selectExpr("source_key AS __key", "parts AS __parts", "cdf AS __cdf")
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    draws = F.expr(
-        f"""aggregate(sequence(1, __parts), 0, (total, i) -> total + size(filter(__cdf, c ->
-            c <= cast(conv(substr(md5({seed!r} || ':' || __name || ':' || i), 1, 8), 16, 10) AS double) / 4294967296D)))"""
+    rated = by_bounded(kept.withColumn("__key", _source_key()).withColumn("__name", name), rates, "__key")
+    # a document with few parts is drawn in its row
+    copies = rated.where(f"__parts <= {PIECE}").withColumn("copies", _drawn("1", "__parts", seed))
+    copies = copies.withColumn("copy", F.explode(F.expr("CASE WHEN copies > 0 THEN sequence(1, copies) ELSE array() END")))
+    mixed = copies.select(*kept.columns, "copies", "copy", "__name")
+    if rates.where(f"__parts > {PIECE}").isEmpty():
+        return _ordered(mixed, seed, spark).select(*kept.columns, "copies", "copy", "shuffle_key")
+    # one of a rare source in pieces of PIECE parts, which are dealt out
+    pieces = rated.where(f"__parts > {PIECE}").withColumn("__piece", F.explode(F.expr(f"sequence(0, (__parts - 1) div {PIECE})")))
+    drawn = pieces.select("__key", "__name", "__piece", "__parts").distinct().join(F.broadcast(rates.select("__key", "__cdf")), "__key")
+    drawn = drawn.withColumn("__n", _drawn(f"__piece * {PIECE} + 1", f"least(__parts, (__piece + 1) * {PIECE})", seed))
+    doc = Window.partitionBy("__key", "__name")
+    drawn = drawn.select(
+        "__key", "__name", "__piece", "__n", F.sum("__n").over(doc).cast("int").alias("copies"),
+        (F.sum("__n").over(doc.orderBy("__piece")) - F.col("__n")).cast("int").alias("__before"),
     )
-    rates = rates.selectExpr("source_key AS __key", "parts AS __parts", "cdf AS __cdf")
-    drawn = by_bounded(kept.withColumn("__key", _source_key()).withColumn("__name", name), rates, "__key")
-    copies = (
-        drawn.withColumn("copies", draws)
-        .withColumn("copy", F.explode(F.expr("CASE WHEN copies > 0 THEN sequence(1, copies) ELSE array() END")))
-        .withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.col("__name"), F.col("copy").cast("string"))))
-        .select(*kept.columns, "copies", "copy", "shuffle_key")
+    parts = pieces.join(drawn, ["__key", "__name", "__piece"]).where("__n > 0")
+    parts = parts.withColumn("copy", F.explode(F.expr("sequence(__before + 1, __before + __n)")))
+    return _ordered(mixed.unionAll(parts.select(*mixed.columns)), seed, spark).select(*kept.columns, "copies", "copy", "shuffle_key")
+
+
+def _drawn(first: str, last: str, seed: str):
+    """Sum of the draws of parts ``first`` to ``last``."""
+    return F.expr(
+        f"""aggregate(sequence({first}, {last}), 0, (total, i) -> total + size(filter(__cdf, c ->
+            c <= cast(conv(substr(md5({seed!r} || ':' || __name || ':' || i), 1, 8), 16, 10) AS double) / 4294967296D)))"""
     )
+
+
+def _ordered(copies: DataFrame, seed: str, spark: SparkSession) -> DataFrame:
+    """Rows in the order of their shuffle key.  Keys are uniform, so their leading digits cut even ranges without a sample."""
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return copies.repartitionByRange(parts, "shuffle_key").sortWithinPartitions("shuffle_key", "doc_id")
+    keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.col("__name"), F.col("copy").cast("string"))))
+    place = F.expr(f"cast(conv(substr(shuffle_key, 1, 8), 16, 10) AS long) * {parts} div {1 << 32}").cast("int")
+    return keyed.repartitionById(parts, place).sortWithinPartitions("shuffle_key", "doc_id")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
