@@ -13,7 +13,8 @@
    doc_id over the interval is the window's first document.
 4. Windows whose first document is smaller than their own mark the words to remove.
 
-Words are compared by a hash of their bytes, WORD_BYTES long.
+Words are compared by a hash of their bytes, WORD_BYTES long: two windows that differ in one word are taken for
+equal with probability 2**-48, in more words with far less.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobmarket.llm.common import staged, table, text_or_empty
+from jobmarket.llm.common import returning, staged, table, text_or_empty
 
 WINDOW = 13
 ANCHOR = 6
@@ -385,7 +386,7 @@ def repeated_windows(docs: DataFrame, limit: int | None = None) -> DataFrame:
     limit = SENT_ANCHORS if limit is None else limit
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     shards = 1 + size // SHARD_BYTES
-    anchors = docs.select("doc_id", "text").mapInArrow(_document_anchors, "anchor long, doc_id long")
+    anchors = docs.select("doc_id", "text").mapInArrow(returning(_document_anchors), "anchor long, doc_id long")
     kept = (
         anchors.groupBy("anchor")
         .agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n"))
@@ -407,8 +408,8 @@ def repeated_windows(docs: DataFrame, limit: int | None = None) -> DataFrame:
     packed = "shard long, content binary, least binary, most binary, counts binary, words binary"
     # a segment is in one shard only, so its key is unique here; without an aggregate between shuffle and
     # join, adaptive execution can split the places of a segment that very many documents share
-    found = chosen.mapInArrow(_contents(shards, shared), packed).groupBy("shard").applyInArrow(_search, "content long, firsts array<long>")
-    placed = chosen.mapInArrow(_places(shared), "content long, doc_id long, mark int, start int")
+    found = chosen.mapInArrow(returning(_contents(shards, shared)), packed).groupBy("shard").applyInArrow(_search, "content long, firsts array<long>")
+    placed = chosen.mapInArrow(returning(_places(shared)), "content long, doc_id long, mark int, start int")
     hits = placed.join(found, "content").selectExpr(
         "doc_id", "mark", "filter(transform(firsts, (f, i) -> IF(f < doc_id, start + i, -1)), s -> s >= 0) AS starts"
     )
@@ -464,7 +465,7 @@ def dedup_substrings(docs: DataFrame, carried: tuple[str, ...] = (), layout: boo
     rest = rows.where("doc_id IS NULL").select("doc_id", empty.alias("found"), *inner, "text")
     fields = ["doc_id", *inner, "n_words", "n_removed", "kept"]
     kinds = ["long", *[rows.schema[i].dataType.simpleString() for i in inner], "long", "long", "string"]
-    found = marked.unionAll(rest).mapInArrow(_kept(fields, layout), ", ".join(f"{n} {k}" for n, k in zip(fields, kinds)))
+    found = marked.unionAll(rest).mapInArrow(returning(_kept(fields, layout)), ", ".join(f"{n} {k}" for n, k in zip(fields, kinds)))
     return found.toDF("doc_id", *carried, "n_words", "n_removed", "kept")
 
 
