@@ -7,10 +7,12 @@ mixes the estimates of all depths: a context stops with the posterior weight of
 against the product of its children, and passes the rest on to the deeper context.
 
 Counts are gathered over all training texts, aggregated before the shuffle, and rolled up depth by
-depth; weights are then passed down again.  What is sent to the scoring tasks is one probability
-per context and node.  Its size is bounded: contexts are kept from the smallest power of two of
-occurrences on at which at most MAX_NODES remain (all counts still act on the weights); a bit
-whose context isn't kept is predicted by the deepest context that is.
+depth; weights are then passed down again.  A bit is scored by the deepest of its contexts that training
+met: where the deeper one was never met, the rest of the weight goes to that deepest one's estimate.
+
+The whole tree stays in the shared folder.  The most frequent contexts, MAX_NODES of them, are sent to the
+scoring tasks as a cache; bytes all of whose bits have their longest context in it are scored there.
+All other bytes are joined, once per distinct byte with its context, to the levels of the tree.
 
 Texts are lower-cased (A-Z) and end with an end symbol, a byte that UTF-8 never has; before the
 text stand end symbols.
@@ -19,6 +21,7 @@ text stand end symbols.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import log, pi
 
 import numpy as np
@@ -114,10 +117,10 @@ def _parent(depth: int) -> Column:
     return F.col("ctx").bitwiseAND(F.lit((1 << 8 * (depth - 1)) - 1))
 
 
-def context_tree(docs: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, list[str]]:
-    """(key, p, n): the mixed probability of bit 1 at each depth, context and node; and the paths it reads.
+def context_tree(docs: DataFrame, depth: int = DEPTH) -> tuple[list[DataFrame], list[str]]:
+    """Per depth (ctx, node, p, n): the mixed probability of bit 1 at each context and node; and the paths they read.
 
-    ``docs`` has the training texts; key packs depth, context and node.
+    ``docs`` has the training texts.
     """
     spark, paths = docs.sparkSession, []
 
@@ -166,19 +169,21 @@ def context_tree(docs: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, list[s
             )
             here = here.withColumn("up", _parent(d)).join(down, ["up", "node"]).drop("up")
         above = keep(here.select("ctx", "node", "n0", "n1", "kt", "stop", "mixed", "passed"))
-        key = F.shiftleft("ctx", 8).bitwiseOR(F.col("node")).bitwiseOR(F.lit(d << 56))
-        served.append(above.select(key.alias("key"), (F.col("mixed") + F.col("passed") * F.col("kt")).alias("p"), (F.col("n0") + F.col("n1")).alias("n")))
-    whole = served[0]
-    for part in served[1:]:
-        whole = whole.unionAll(part)
-    return whole, paths
+        served.append(above.select("ctx", "node", (F.col("mixed") + F.col("passed") * F.col("kt")).alias("p"), (F.col("n0") + F.col("n1")).alias("n")))
+    return served, paths
 
 
-def bounded(tree: DataFrame, most: int = MAX_NODES) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, probabilities) in key order of the contexts with the most occurrences, at most ``most`` of them.
+def frequent_nodes(levels: list[DataFrame], most: int | None = None) -> tuple[np.ndarray, np.ndarray, bool]:
+    """(keys, probabilities) in key order of the contexts with the most occurrences, and whether these are all.
 
+    At most ``most`` (MAX_NODES) of them are taken, from a power of two of occurrences on.  Keys pack depth, context and node.
     Probabilities stay doubles: as floats those of frequent contexts would round to 1, and the other bit would score -inf.
     """
+    most = MAX_NODES if most is None else most
+    parts = [
+        level.select(F.shiftleft("ctx", 8).bitwiseOR(F.col("node")).bitwiseOR(F.lit(d << 56)).alias("key"), "p", "n") for d, level in enumerate(levels)
+    ]
+    tree = reduce(DataFrame.unionAll, parts)
     sizes = tree.groupBy(F.floor(F.log2("n")).cast("int").alias("size")).count().collect()
     least, kept = 64, 0
     for row in sorted(sizes, key=lambda r: -r["size"]):
@@ -188,25 +193,57 @@ def bounded(tree: DataFrame, most: int = MAX_NODES) -> tuple[np.ndarray, np.ndar
     rows = tree.where(F.col("n") >= F.lit(1 << least if least < 63 else (1 << 62))).select("key", "p").toArrow()
     keys, values = rows["key"].to_numpy(), rows["p"].to_numpy()
     order = np.argsort(keys)
-    return keys[order], values[order]
+    return keys[order], values[order], kept == sum(row["count"] for row in sizes)
+
+
+def gram_scores(wanted: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """(gram, score): log10 probability of the last byte after the others, from the whole tree; ``wanted`` are distinct grams.
+
+    Grams meet the longest contexts first; only those that training hasn't met go on to shorter ones.
+    """
+    byte = F.col("gram").bitwiseAND(F.lit(255))
+    nodes = [F.shiftright(byte, 8 - i).bitwiseOR(F.lit(1 << i)) for i in range(8)]
+    bits = [F.shiftright(byte, 7 - i).bitwiseAND(F.lit(1)) for i in range(8)]
+
+    def met(rows: DataFrame, d: int) -> DataFrame:
+        contexts = levels[d].groupBy("ctx").agg(F.map_from_entries(F.collect_list(F.struct("node", "p"))).alias("found"))  # at most 255 nodes
+        ctx = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * d) - 1))
+        ps = [F.coalesce(F.col("ps")[i], F.try_element_at("found", n)) for i, n in enumerate(nodes)]
+        return rows.withColumn("ctx", ctx).join(contexts, "ctx", "left").select("gram", F.array(*ps).alias("ps"))
+
+    depth = len(levels) - 1
+    nothing = F.array(*[F.lit(None).cast("double")] * 8)
+    longest = staged(met(wanted.select("gram", nothing.alias("ps")), depth))
+    missing = F.exists("ps", lambda p: p.isNull())
+    rest = longest.where(missing)
+    for d in range(depth - 1, -1, -1):
+        rest = met(rest, d)
+    chances = [F.coalesce(F.col("ps")[i], F.lit(0.5)) for i in range(8)]
+    total = sum((F.log10(F.when(b == 1, p).otherwise(1 - p)) for p, b in zip(chances, bits)), F.lit(0.0))
+    return longest.where(~missing).unionAll(rest).select("gram", total.alias("score"))
 
 
 class Model:
-    """Looks probabilities up in a bounded tree."""
+    """Looks probabilities up in the cache of frequent contexts; ``whole`` tells that it is the whole tree."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray, depth: int = DEPTH) -> None:
-        self.keys, self.values, self.depth = keys, values, depth
+    def __init__(self, keys: np.ndarray, values: np.ndarray, whole: bool = True, depth: int = DEPTH) -> None:
+        self.keys, self.values, self.whole, self.depth = keys, values, whole, depth
         self.depths = np.searchsorted(keys, np.arange(depth + 2, dtype=np.int64) << 56)
 
-    def code_lengths(self, grams: np.ndarray) -> np.ndarray:
-        """log10 probability of the last byte of each gram after the others; grams sorted, which keeps lookups near each other."""
-        total = np.zeros(len(grams))
+    def code_lengths(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of the last byte of each gram after the others, and whether that needs no more of the tree.
+
+        Grams are sorted, which keeps lookups near each other.
+        """
+        total, exact = np.zeros(len(grams)), np.ones(len(grams), bool)
         contexts, byte = grams >> 8, grams & 255
         for i in range(8):
             node, bit = (byte >> (8 - i)) | (1 << i), (byte >> (7 - i)) & 1
             p, open_ = np.full(len(grams), 0.5), np.arange(len(grams))
             for depth in range(self.depth, -1, -1):
                 keys = self.keys[self.depths[depth] : self.depths[depth + 1]]
+                if not len(keys) and depth == self.depth and not self.whole:
+                    exact[:] = False
                 if not len(open_) or not len(keys):
                     continue
                 wanted = ((contexts[open_] & ((1 << 8 * depth) - 1)) << 8) | node[open_] | (depth << 56)
@@ -214,14 +251,23 @@ class Model:
                 found = keys[at] == wanted
                 p[open_[found]] = self.values[self.depths[depth] :][at[found]]
                 open_ = open_[~found]
+                if depth == self.depth and not self.whole:
+                    exact[open_] = False
             total += np.log10(np.where(bit == 1, p, 1 - p))
-        return total
+        return total, exact
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text and its end."""
+    def score(self, texts: list[bytes]) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """log10 probability of what the cache tells of each text and its end, and the rest: (text, gram, how often)."""
         found, text = grams(texts, self.depth)
         distinct, back = np.unique(found, return_inverse=True)
-        return np.bincount(text, self.code_lengths(distinct)[back], len(texts))
+        scores, exact = self.code_lengths(distinct)
+        total = np.bincount(text, np.where(exact, scores, 0.0)[back], len(texts))
+        if exact.all():
+            none = np.zeros(0, np.int64)
+            return total, (none, none, none)
+        left = np.flatnonzero(~exact[back])
+        pairs, often = np.unique(text[left].astype(np.int64) * len(distinct) + back[left], return_counts=True)
+        return total, (pairs // len(distinct), distinct[pairs % len(distinct)], often)
 
 
 def _word_keys(texts: list[bytes]) -> np.ndarray:
@@ -257,13 +303,13 @@ def _rare_words(words: np.ndarray):
 
 
 def _scored(shared, words: np.ndarray, logs: np.ndarray):
-    """Kernel over (doc_id, mark, held_out, text): model score, tokens, and what the frequent words add."""
+    """Kernel over (doc_id, mark, held_out, text): model score, tokens, what the frequent words add, and grams left to score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*shared.value)
         for batch in batches:
             for first, texts in _groups(batch, GROUP_BYTES):
-                score = model.score(texts)
+                score, (owner, gram, often) = model.score(texts)
                 found = Words(texts)
                 keys = found.hashes.view(np.int64)
                 slot = np.minimum(np.searchsorted(words, keys), max(len(words) - 1, 0))
@@ -274,7 +320,9 @@ def _scored(shared, words: np.ndarray, logs: np.ndarray):
                 columns.append(pa.array(np.bincount(text, minlength=len(texts))))
                 columns.append(pa.array(np.bincount(text, logs[slot[known]] if len(text) else None, len(texts)).astype(np.float64)))
                 columns.append(pa.array(score))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "held_out", "n_tokens", "frequent", "sum", "score"])
+                offsets = pa.array(np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32))
+                columns += [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int64))) for x in (gram, often)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "held_out", "n_tokens", "frequent", "sum", "score", "grams", "often"])
 
     return run
 
@@ -291,10 +339,8 @@ def score(docs: DataFrame) -> DataFrame:
     text = text_or_empty()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), held_out().alias("held_out"), text.alias("text"))
     training = rows.where(~F.col("held_out"))
-    tree, paths = context_tree(training)
-    shared = spark.sparkContext.broadcast(bounded(tree))  # at most MAX_NODES numbers
-    for path in paths:
-        delete_path(spark, path)
+    levels, paths = context_tree(training)
+    shared = spark.sparkContext.broadcast(frequent_nodes(levels))  # at most MAX_NODES numbers
     ends = training.count()
     counts = staged(word_counts(training))
     whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
@@ -305,18 +351,29 @@ def score(docs: DataFrame) -> DataFrame:
     words, often = frequent["word"].to_numpy()[order], frequent["n"].to_numpy()[order]
     rare = rows.select("doc_id", "mark", "text").mapInArrow(_rare_words(words), "doc_id long, mark long, word long, k long")
     light = counts.where(F.col("n") * FREQUENT < total)
-    looked_up = rare.join(light, "word", "left").groupBy("doc_id", "mark").agg(
-        F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("rare_known"),
-        F.sum(F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rare_sum"),
-    )
-    fields = "doc_id long, mark long, held_out boolean, n_tokens long, frequent long, sum double, score double"
+    fields = "doc_id long, mark long, held_out boolean, n_tokens long, frequent long, sum double, score double, grams array<long>, often array<long>"
     scored = staged(rows.mapInArrow(_scored(shared, words, np.log10(often + 0.5)), fields))
+    left = scored.select("doc_id", "mark", F.explode(F.arrays_zip("grams", "often")).alias("g")).select("doc_id", "mark", "g.*")
+    asked = staged(gram_scores(left.select(F.col("grams").alias("gram")).distinct(), levels))
+    for path in paths:
+        delete_path(spark, path)
+    # words and grams that the caches don't tell: both are sums per text
+    of_words = rare.join(light, "word", "left").select(
+        "doc_id", "mark", F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0).alias("known"),
+        (F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("sum"), F.lit(0.0).alias("score"),
+    )
+    of_grams = left.join(asked, F.col("grams") == F.col("gram")).select(
+        "doc_id", "mark", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("sum"), (F.col("score") * F.col("often")).alias("score")
+    )
+    looked_up = of_words.unionAll(of_grams).groupBy("doc_id", "mark").agg(
+        F.sum("known").alias("rare_known"), F.sum("sum").alias("rare_sum"), F.sum("score").alias("rare_score")
+    )
     # rows that repeat in full have each added to the sums of their words
     copies = scored.groupBy("doc_id", "mark").agg(F.count("*").alias("copies"))
     per_text = copies.join(
         looked_up.withColumnsRenamed({"doc_id": "id", "mark": "m"}), (F.col("doc_id").eqNullSafe(F.col("id"))) & (F.col("mark") == F.col("m")), "left"
-    ).select(F.col("doc_id").alias("id"), F.col("mark").alias("m"), "copies", "rare_known", "rare_sum")
-    joined = scored.join(per_text, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("m")))
+    ).select(F.col("doc_id").alias("id"), F.col("mark").alias("m"), "copies", "rare_known", "rare_sum", "rare_score")
+    joined = scored.drop("grams", "often").join(per_text, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("m")))
     end = float(np.log10(ends + 0.5))
     return joined.select(
         "doc_id",
@@ -325,7 +382,7 @@ def score(docs: DataFrame) -> DataFrame:
         (F.col("frequent") + (F.coalesce("rare_known", F.lit(0)) / F.col("copies")).cast("long") + int(ends > 0)).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("sum") + F.coalesce("rare_sum", F.lit(0.0)) / F.col("copies") + end - F.col("n_tokens") * bottom).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("rare_score", F.lit(0.0)) / F.col("copies")).alias("score"),
     )
 
 

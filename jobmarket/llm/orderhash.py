@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobmarket.llm.common import range_cuts, table, text_or_empty
+from jobmarket.llm.common import MOST_TASKS, range_cuts, table, text_or_empty
 
 K = 10
 BINS = 64
@@ -171,7 +171,8 @@ def with_next(docs: DataFrame) -> DataFrame:
         return pd.Series([[2 * o + 1] + ([2 * a] if a > o else []) + ([0] if f else []) for o, a, f in zip(own, also, first)])
 
     spread = rows.withColumn("code", F.explode(codes("doc_id"))).withColumn("range", F.expr("code div 2"))
-    return spread.repartition("range").sortWithinPartitions("code", "doc_id", "text").select("code", "doc_id", "text")
+    tasks = min(len(cuts) + 1, MOST_TASKS)
+    return spread.repartitionById(tasks, F.col("range").cast("int")).sortWithinPartitions("code", "doc_id", "text").select("code", "doc_id", "text")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

@@ -30,8 +30,8 @@ ROOT = b""
 HELD = 1_000_000
 #: paths inserted together
 BATCH = 4096
-#: conversations with ids in a range of this size are joined to one piece of text before they meet in a digest
-ID_RANGE = 4096
+#: conversations whose ids agree but for so many low bits are joined to one piece of text before they meet in a digest
+ID_BITS = 12
 
 
 def two_fattest(low: int, high: int) -> int:
@@ -230,10 +230,10 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _ends(paths: DataFrame) -> DataFrame:
     """(node, ends_sha256) of the nodes that a conversation ends at.
 
-    The ids of a node are hashed in one stream, as a digest must be; they arrive in pieces of up to ID_RANGE ids.
+    The ids of a node are hashed in one stream, as a digest must be; they arrive in pieces of up to 2**ID_BITS ids.
     """
     last = F.coalesce(F.try_element_at("path", F.lit(-1)), F.lit(ROOT))
-    ids = paths.select(last.alias("node"), "conv_id", F.floor(F.col("conv_id") / ID_RANGE).alias("range"))
+    ids = paths.select(last.alias("node"), "conv_id", F.shiftright("conv_id", ID_BITS).alias("range"))
     pieces = ids.groupBy("node", "range").agg(F.array_join(F.sort_array(F.collect_list("conv_id")).cast("array<string>"), ",").alias("piece"))
     return pieces.repartition("node").sortWithinPartitions("node", "range").select("node", "piece").mapInArrow(_joined, "node binary, ends_sha256 string")
 

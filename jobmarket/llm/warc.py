@@ -23,7 +23,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from jobmarket.llm.common import prefix_sums, range_cuts, staged, table, text_or_empty, work_path
+from jobmarket.llm.common import MOST_TASKS, prefix_sums, range_cuts, staged, table, text_or_empty, work_path
 
 #: payloads shorter than this are always stored
 LEAST_REVISIT = 100
@@ -186,7 +186,8 @@ def write_warc(pages: DataFrame, root: str, shard_bytes: int = SHARD_BYTES, file
     told = decided.select(shard("page_id").alias("shard"), "page_id", F.lit(0).alias("kind"), "digest", "refers_to", empty.alias("url"), empty.alias("html"))
     full = rows.select(shard("page_id").alias("shard"), "page_id", F.lit(1).alias("kind"), empty.alias("digest"), F.lit(None).cast("long").alias("refers_to"), "url", "html")
     both = told.distinct().unionAll(full)
-    ordered = both.repartition("shard").sortWithinPartitions("shard", "page_id", "kind")
+    tasks = min(len(starts) + 1, MOST_TASKS)
+    ordered = both.repartitionById(tasks, F.col("shard").cast("int")).sortWithinPartitions("shard", "page_id", "kind")
     place = spark._jvm.org.apache.hadoop.fs.Path(root)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(place)
     return staged(ordered.mapInArrow(_writer(root, file_bytes), MANIFEST), f"{root}/manifest")
@@ -246,7 +247,9 @@ def read_warc(manifest: DataFrame, root: str, payloads: bool = True) -> DataFram
                 if rows:
                     yield packed(rows)
 
-    files = manifest.select("file").repartition("file")
+    # a task per file, the largest first; without a number the few rows of a manifest would end in one task
+    place = F.row_number().over(Window.orderBy(F.desc("bytes"), "file"))
+    files = manifest.select("file", place.alias("place")).repartitionById(max(1, min(manifest.count(), MOST_TASKS)), "place").select("file")
     return files.mapInArrow(run, RECORD if payloads else RECORD.rpartition(",")[0])
 
 

@@ -47,6 +47,32 @@ def split(text):
     return (text or "").encode().split()
 
 
+# ------------------------------------------------------------------------- mixing
+
+
+def test_a_rare_source_is_drawn_in_pieces(spark, monkeypatch):
+    """One document against thousands, twice in the table: dealt out, it gets the copies that one row would draw."""
+    common = spark.range(6000).selectExpr("id AS doc_id", "'x' AS text", "'many' AS source")
+    rare = spark.createDataFrame([(-1, "rare", "few"), (-1, "rare again", "few"), (None, "no id", None)], "doc_id long, text string, source string")
+    docs = common.unionAll(rare).selectExpr("*", "'?' AS copies", "'?' AS copy")
+    mixed = []
+    for piece in (4, 10**6):
+        monkeypatch.setattr(mixing, "PIECE", piece)
+        rows = mixing.mix(docs).where("source <> 'many' OR source IS NULL")
+        mixed.append(sorted((tuple(r) for r in rows.select("text", "source", "copies", "copy", "shuffle_key").collect()), key=repr))
+    assert mixed[0] == mixed[1]
+    for text in ("rare", "rare again", "no id"):
+        copies = [r[2:4] for r in mixed[0] if r[0] == text]
+        assert sorted(c for _, c in copies) == list(range(1, len(copies) + 1)) and {n for n, _ in copies} == {len(copies)}
+    assert 900 < sum(r[0] == "rare" for r in mixed[0]) < 1100 and 1800 < sum(r[0] == "no id" for r in mixed[0]) < 2200
+
+
+def test_mix_comes_in_order(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "'x' AS text", "'s' || (id % 3) AS source")
+    keys = [r.shuffle_key for r in mixing.mix(docs).select("shuffle_key").collect()]
+    assert keys == sorted(keys) and mixing.mix(docs).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 # ------------------------------------------------------------------------ SimHash
 
 
@@ -157,6 +183,33 @@ def test_order_minhash(edges, empty, texts, documents):
     assert orderhash.fingerprints(empty).count() == 0
 
 
+def plain_signature(text):
+    """Order MinHash over a dictionary of k-mers, one number at a time."""
+    top = (1 << 64) - 1
+    mixed = lambda x: (lambda y: y ^ y >> 33)((lambda y: (y ^ y >> 33) * 0xC4CEB9FE1A85EC53 & top)((x ^ x >> 33) * 0xFF51AFD7ED558CCD & top))
+    k = min(10, len(text))
+    seen, bins = Counter(), defaultdict(list)
+    for i in range(len(text) - k + 1 if text else 0):
+        kmer = text[i : i + k]
+        h = mixed(sum((ord(c) + 1) * pow(0x9E3779B97F4A7C15, j, 1 << 64) for j, c in enumerate(kmer)) & top)
+        value = mixed((h + seen[kmer] * 0xC2B2AE3D27D4EB4F) & top)
+        seen[kmer] += 1
+        bins[value >> 58].append((value << 6 & top, i, h))
+    out = [0] * 64
+    for b, found in bins.items():
+        folded = 0
+        for place, (_, _, h) in enumerate(sorted(sorted(found)[:2], key=lambda x: x[1]), 1):
+            folded = mixed((folded * 0xC2B2AE3D27D4EB4F + h + place) & top)
+        out[b] = folded % 65_535 + 1
+    return out
+
+
+def test_signature_against_plain_order_minhash(texts):
+    for text in [t for _, t in texts[:25]] + ["", "a", "ab" * 400, "日本 🙂 " * 70, "x" * 2000]:
+        text = text[:3000]
+        assert orderhash.signature(orderhash._points(text)).tolist() == plain_signature(text)
+
+
 def test_order_matters_and_repeats_count():
     points = lambda t: orderhash.signature(orderhash._points(t))
     words = [f"word{i * i}" for i in range(300)]
@@ -380,23 +433,39 @@ def test_context_tree_against_recursion(spark):
 
     want = sum(math.log10(p if bit else 1 - p) for ctx, node, bit in steps(probe) for p in [p_one(ctx, node) or 0.5])
     docs = spark.createDataFrame([(t.decode(),) for t in train], "text string")
-    tree, _ = contexttree.context_tree(docs, 2)
-    model = contexttree.Model(*contexttree.bounded(tree), 2)
-    assert abs(model.score([probe])[0] - want) < 1e-5
-    whole = sum(10 ** model.score([bytes(x)])[0] for x in [b"", *([bytes([i]) for i in range(255)])])
+    levels, _ = contexttree.context_tree(docs, 2)
+    model = contexttree.Model(*contexttree.frequent_nodes(levels), 2)
+    assert model.whole and abs(model.score([probe])[0][0] - want) < 1e-5
+    # and the same without a cache
+    grams, _ = contexttree.grams([probe], 2)
+    joined = contexttree.gram_scores(spark.createDataFrame([(int(g),) for g in set(grams.tolist())], "gram long"), levels).collect()
+    assert {r.gram for r in joined} == set(grams.tolist()) and abs(sum(r.score * grams.tolist().count(r.gram) for r in joined) - want) < 1e-9
+    whole = sum(10 ** model.score([bytes(x)])[0][0] for x in [b"", *([bytes([i]) for i in range(255)])])
     assert whole <= 1 + 1e-6
 
 
 def test_context_seen_very_often_leaves_the_other_bit_possible(spark):
     """Counts (0, 1e8) at the first node without context: a byte below 128 is rare, not impossible."""
     n = 100_000_000
-    tree = spark.createDataFrame([(1, (n + 0.5) / (n + 1.0), n)], "key long, p double, n long")
-    model = contexttree.Model(*contexttree.bounded(tree), 0)
+    levels = [spark.createDataFrame([(0, 1, (n + 0.5) / (n + 1.0), n)], "ctx long, node long, p double, n long")]
+    model = contexttree.Model(*contexttree.frequent_nodes(levels), 0)
     import numpy as np
 
-    assert abs(model.code_lengths(np.array([65]))[0] - (math.log10(0.5 / (n + 1.0)) + 7 * math.log10(0.5))) < 1e-6
+    assert abs(model.code_lengths(np.array([65]))[0][0] - (math.log10(0.5 / (n + 1.0)) + 7 * math.log10(0.5))) < 1e-6
+
+
+def test_cache_keeps_the_most_frequent(spark):
+    levels = [spark.createDataFrame([(0, i, 0.5, n) for i, n in enumerate([1, 1, 2, 3, 4, 9])], "ctx long, node long, p double, n long")]
+    found = [contexttree.frequent_nodes(levels, most) for most in (6, 5, 4, 3, 2, 0)]
+    assert [(len(keys), whole) for keys, _, whole in found] == [(6, True), (4, False), (4, False), (2, False), (2, False), (0, False)]
 
 
-def test_bounded_tree_keeps_the_most_frequent(spark):
-    tree = spark.createDataFrame([(i, 0.5, n) for i, n in enumerate([1, 1, 2, 3, 4, 9])], "key long, p double, n long")
-    assert [len(contexttree.bounded(tree, most)[0]) for most in (6, 5, 4, 3, 2, 0)] == [6, 4, 4, 2, 2, 0]
+@pytest.mark.parametrize("most", [0, 300, 20_000])
+def test_scores_do_not_depend_on_the_cache(spark, edges, documents, monkeypatch, most):
+    """Contexts outside of the cache count in full."""
+    docs = edges.select("doc_id", "text").unionAll(documents.select("doc_id", "text").limit(60))
+    want = sorted(map(tuple, contexttree.score(docs).collect()), key=repr)
+    monkeypatch.setattr(contexttree, "MAX_NODES", most)
+    got = sorted(map(tuple, contexttree.score(docs).collect()), key=repr)
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    assert all(math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9) for g, w in zip(got, want) for a, b in zip(g[5:], w[5:]))

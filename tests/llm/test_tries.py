@@ -201,11 +201,12 @@ def test_trie(spark):
 @pytest.mark.parametrize("held", [prefixtrie.HELD, 3])
 def test_trie_edges(spark, monkeypatch, held):
     monkeypatch.setattr(prefixtrie, "HELD", held)
-    monkeypatch.setattr(prefixtrie, "ID_RANGE", 64)
+    monkeypatch.setattr(prefixtrie, "ID_BITS", 6)
     rows = [(None, 1, "user", "no id"), (7, None, "user", "null turn first"), (7, 0, "user", "b"), (8, 5, None, None), (8, 6, "", ""), (8, 7, "ü", "🙂日本")]
     rows += [(100, i, "user", f"base {i}") for i in range(7)] + [(i, 0, "user", "hi") for i in range(101, 199)]
     rows += [(i, j, "user", "same") for i in range(300, 700) for j in range(1 + i % 9)]
     rows += [(i, j, "bot", f"deep {j}") for i in (900, 901, 902) for j in range(150 - (i - 900))] + [(1200, 0, "u", "x" * 100_000), (1201, 0, "u", "twice"), (1201, 0, "u", "twice")]
+    rows += [(2**62 + i, 0, "u", "far") for i in (0, 1, 2, 100)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS path", "1 AS h", "1 AS node", "1 AS chars")
     same_trie(df, rows)
     assert prefixtrie.trie(df.limit(0)).count() == 0
