@@ -678,7 +678,8 @@ def oracle_sql() -> dict[str, str]:
         "upsert_snapshot": _with(REPEATS + ", " + first_import, upsert),
         "upsert_buckets": _with(REPEATS + ", " + first_import, upsert),
         "upsert_older_table": _with(REPEATS + ", " + first_import, older_table),
-        "import_rejects": _with(REPEATS, "SELECT job_url, job_title, company FROM repeats WHERE company IS NULL OR job_title IS NULL"),
+        "import_rejects": "SELECT 'https://jobs.example.com/' || o_orderkey AS job_url, o_orderstatus AS job_title, CAST(NULL AS VARCHAR) AS company "
+        "FROM orders WHERE o_orderkey % 41 = 1",
         "raw_arrays": _with(
             POSTINGS,
             "SELECT CAST(row_number() OVER (PARTITION BY posting_id // 2000 ORDER BY posting_id) - 1 AS INT) AS ord, job_title, salary_text, salary, "
