@@ -1,16 +1,19 @@
-"""Near duplicates by the Jaccard similarity of word shingles.
+"""Near duplicates by SimHash fingerprints, and by the Jaccard similarity of word shingles.
 
 1. A document is the set of the XXH64 of its lower-cased (A-Z) five-word shingles; equal sets are one node.
-2. MinHash: BANDS keys of ROWS minima each.  Two sets of similarity s share no key with probability
-   (1 - s**ROWS)**BANDS: 7e-6 at 0.8, less above.  (64-bit SimHash can't serve here: at 0.8 about 10, often 15
-   of its bits differ, and keys that allow for so many select almost nothing.)
-3. Nodes that share a key are compared by their whole sets, in integers: first each with one leader of its key, for
-   ROUNDS leaders.  A group of near copies is connected by then.
-4. Of keys that are not connected yet, all pairs are held against each other by sketches of SKETCH bits, one of each
+2. The SimHash fingerprints of the sets are linked as in :mod:`jobmarket.llm.simhash`: correlated bits grouped, thresholds by
+   dynamic programming, keys probed and verified within RADIUS bits.  An exact check of the sets follows.  That connects copies
+   with few changes.
+3. At a similarity of 0.8 about 10, often 15 of 64 bits differ, and keys that allow for so many select almost nothing.  What
+   fingerprints can't reach is found by MinHash: BANDS keys of ROWS minima each.  Two sets of similarity s share no key with
+   probability (1 - s**ROWS)**BANDS: 7e-6 at 0.8, less above.
+4. Nodes that share a key and are not connected yet are compared by their whole sets, in integers: first each with one leader
+   of its key, for ROUNDS - 1 leaders.  A group of near copies is connected by then.
+5. Of keys that are not connected yet, all pairs are held against each other by sketches of SKETCH bits, one of each
    of as many other minima: two sets of similarity s agree in a bit with probability (1 + s) / 2.  Only pairs that
    agree in AGREE bits are compared by their sets, and only at the first key they share; at 0.8 a pair fails that with
    probability 1e-5, at 0.65 it passes with 0.002.  So a large group whose members are alike, but not enough, makes few rows.
-5. Links become components.
+6. Links become components.
 """
 
 from __future__ import annotations
@@ -23,12 +26,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jobmarket.llm import simhash
 from jobmarket.llm.common import components, delete_path, returning, staged, work_path
 
 WORDS = 5
 BANDS, ROWS = 30, 5
-#: leaders per key before all pairs that are not connected yet
-ROUNDS = 2
+#: bits in which linked fingerprints may differ
+RADIUS = 2
+#: rounds before all pairs that are not connected yet: one by fingerprints, then one for every leader of a key
+ROUNDS = 3
 #: bits of a sketch, and how many of them pairs must agree in (mean at 0.8 less 4.25 standard deviations)
 SKETCH, AGREE = 1024, 881
 #: slots of the filter that keeps sets without a partner from being shuffled
@@ -89,13 +95,15 @@ def _lists(values: list) -> pa.Array:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, nodes, keys = [], [], []
+        sizes, nodes, keys, fps = [], [], [], []
         for text in batch.column(1):
             found = shingles(text.as_py())
             sizes.append(len(found))
             nodes.append(node(found))
             keys.append(band_keys(found))
-        yield pa.RecordBatch.from_arrays([batch.column(0), _longs(nodes), pa.array(sizes, pa.int64()), _lists(keys)], ["doc_id", "node", "size", "keys"])
+            fps.append(simhash.majority(found))
+        columns = [batch.column(0), _longs(nodes), pa.array(sizes, pa.int64()), _lists(keys), _longs(fps)]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "size", "keys", "fp"])
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,12 +137,24 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
 
 
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes with shingles that connect all whose fingerprints differ in at most RADIUS bits."""
+    filled = nodes.where("size > 0").select("node", "fp")
+    firsts = staged(filled.groupBy("fp").agg(F.min("node").alias("first")))
+    equal = filled.join(firsts, "fp").where("node <> first").selectExpr("first AS a", "node AS b")
+    near = simhash.links(firsts.select("fp"), RADIUS)
+    left, right = firsts.selectExpr("fp AS a", "first AS x"), firsts.selectExpr("fp AS b", "first AS y")
+    return equal.unionAll(near.join(left, "a").join(right, "b").selectExpr("least(x, y) AS a", "greatest(x, y) AS b")).distinct()
+
+
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Staged links (a, b) that connect all nodes of similarity 0.8 or more; ``nodes`` (node, size, keys) are distinct."""
+    """Staged links (a, b) that connect all nodes of similarity 0.8 or more; ``nodes`` (node, size, keys, fp) are distinct."""
     spark = docs.sparkSession
+    near = staged(fingerprint_pairs(nodes))
     filed = nodes.select("node", "size", F.explode("keys").alias("key"))
     shared = staged(filed.join(filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key"))
-    slots = shared.select(F.pmod("node", F.lit(SLOTS)).cast("int").alias("slot")).distinct().toArrow()  # at most SLOTS
+    met = shared.select("node").unionAll(near.select(F.explode(F.array("a", "b")).alias("node")))
+    slots = met.select(F.pmod("node", F.lit(SLOTS)).cast("int").alias("slot")).distinct().toArrow()  # at most SLOTS
     wanted = np.zeros(SLOTS, bool)
     wanted[slots["slot"].to_numpy()] = True
     sets = docs.select("text").mapInArrow(returning(_sets(spark.sparkContext.broadcast(wanted))), "node long, found array<long>")
@@ -144,10 +164,10 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     found, members = None, shared.withColumn("root", F.col("node"))
     for turn in range(ROUNDS + 1):
         y = members
-        if turn < ROUNDS:
+        if 0 < turn < ROUNDS:
             first = members.groupBy("key").agg(F.min_by(F.struct("node", "size", "root"), F.xxhash64("node", F.lit(turn))).alias("f"))
             x, apart = first.select("key", "f.*"), F.col("x.root") != F.col("y.root")
-        else:
+        elif turn == ROUNDS:
             open_sets = members.select("node").distinct().join(sets, "node").select("node", "found")
             sketches = staged(open_sets.mapInArrow(returning(_sketches), "node long, sketch array<long>, keys array<long>"))
             words = [F.col("sketch")[i].alias(f"w{i}") for i in range(SKETCH // 64)]
@@ -155,8 +175,9 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             same = sum((F.bit_count(F.col(f"x.w{i}").bitwiseXOR(F.col(f"y.w{i}"))) for i in range(SKETCH // 64)), F.lit(0))
             earlier = [F.slice(f"{t}.keys", F.lit(1), (F.array_position(f"{t}.keys", F.col(f"{t}.key")) - 1).cast("int")) for t in "xy"]
             apart = (F.col("x.root") < F.col("y.root")) & (same <= SKETCH - AGREE) & ~F.arrays_overlap(*earlier)
-        met = y.alias("y").join(x.alias("x"), (F.col("x.key") == F.col("y.key")) & apart & close)
-        new = _verified(met.select(*pair).distinct(), sets)
+        if turn:
+            met = y.alias("y").join(x.alias("x"), (F.col("x.key") == F.col("y.key")) & apart & close)
+        new = _verified(met.select(*pair).distinct() if turn else near, sets)
         found = staged(new if found is None else found.unionAll(new))
         if turn < ROUNDS:
             roots = components(found)
@@ -175,10 +196,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Documents link when at least 0.8 of the shingles in either are in both; texts without words link with each other.
     component_id is the smallest doc_id reachable, the document's own included; null only where no member has an id.
     """
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, size long, keys array<long>"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, size long, keys array<long>, fp long"
     rows = staged(docs.select("doc_id", "text").mapInArrow(returning(_signatures), schema))
     classes = rows.groupBy("node").agg(F.min("doc_id").alias("first"))
-    nodes = rows.select("node", "size", "keys").dropDuplicates(["node"])
+    nodes = rows.select("node", "size", "keys", "fp").dropDuplicates(["node"])
     roots = components(links(docs, nodes))
     owned = staged(classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     least = owned.groupBy("root").agg(F.min("first").alias("component_id"))

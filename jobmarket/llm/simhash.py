@@ -36,6 +36,16 @@ PAIRWISE = 128
 BLOCK = 65_536
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; 0 without hashes."""
+    votes = np.zeros(BITS, np.int64)
+    for i in range(0, len(hashes), BLOCK):
+        block = hashes[i : i + BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8)
+        votes += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    bits = (2 * votes > len(hashes)).astype(np.uint8)
+    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, words: int = 3) -> int:
     """SimHash of lower-cased (A-Z) word shingles, repeats counted; 0 without words."""
     tokens = (text or "").encode().lower().split()
@@ -51,12 +61,7 @@ def fingerprint(text: str | None, words: int = 3) -> int:
         spans = zip(starts[: len(starts) - words + 1].tolist(), ends[words - 1 :].tolist())
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(joined[a:b], 42) for a, b in spans), np.uint64)
-    votes = np.zeros(BITS, np.int64)
-    for i in range(0, len(hashes), BLOCK):
-        block = hashes[i : i + BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8)
-        votes += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (2 * votes > len(hashes)).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:

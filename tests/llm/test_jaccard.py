@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from jobmarket.llm import jaccard
 
@@ -89,3 +90,22 @@ def test_large_group_below_the_threshold(spark, monkeypatch):
     assert got.columns == docs.columns
     assert sorted(r.doc_id for r in got.collect()) == kept(rows)
     assert len(compared) == jaccard.ROUNDS + 1 and compared[-1] < len(rows) * (len(rows) - 1) / 2
+
+
+def test_fingerprints_connect_copies(spark):
+    """Copies with few changes are linked by their fingerprints alone, and texts that are unlike are not."""
+    rng = random.Random(3)
+    long = [" ".join(f"w{rng.randrange(5000)}" for _ in range(3000)) for _ in range(20)]
+    rows = list(enumerate([*long, *(t + " end" for t in long[:10]), None, "", "few words"]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    schema = "doc_id long, node long, size long, keys array<long>, fp long"
+    signed = docs.mapInArrow(jaccard._signatures, schema).withColumn("keys", F.expr("slice(keys, 1, 0)"))  # nothing for MinHash
+    named = {r.node: r.doc_id for r in signed.collect()}
+    got = jaccard.links(docs, signed.drop("doc_id").dropDuplicates(["node"])).collect()
+    near = {frozenset((a, a + 20)) for a in range(10)}
+    alike = {frozenset((a, a + 20)) for a in range(10) if bin(simprint(rows[a][1]) ^ simprint(rows[a + 20][1])).count("1") <= jaccard.RADIUS}
+    assert {frozenset((named[r.a], named[r.b])) for r in got} == alike and alike and alike <= near
+
+
+def simprint(text):
+    return jaccard.simhash.majority(jaccard.shingles(text))
