@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobmarket.session import ship
+from jobmarket.sources.staging import staged
 
 _ESCAPES = re.compile(r"\\.", re.DOTALL)
 _STRINGS = re.compile(r'"[^"]*(?:"|\Z)')
@@ -168,8 +169,9 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_json_arrays(spark: SparkSession, path: str, schema: T.StructType, glob: str = "*.json") -> DataFrame:
     """(file_name, ord, and the columns of ``schema``): the objects of every array, numbered from 0.
 
-    Files whose content is no valid JSON array of objects yield nothing; a byte-order mark is skipped.  Every file is read three times: to find
-    where ranges start, to find invalid records, and for its records.
+    Files whose content is no valid JSON array of objects yield nothing; a byte-order mark is skipped.  Every file is read twice: to find
+    where ranges start, and for its records.  These are written to the shared folder when this is called, as a file's
+    records count only once all of them are known to be valid.
     """
     ship(spark)
     segments = spark.read.option("pathGlobFilter", glob).option("lineSep", "}").text(path)
@@ -180,6 +182,7 @@ def read_json_arrays(spark: SparkSession, path: str, schema: T.StructType, glob:
     known = segments.join(F.broadcast(files), "file")  # a row per file
     known = known.join(F.broadcast(starts), ["file", "start"], "left")  # a row per byte range
     pieces = known.select("file", "start", "in_string", "depth", "records", "ends", "value").mapInArrow(_pieces, _PIECES)
+    pieces = staged(pieces, "pieces")
     joined = (
         pieces.where("NOT whole").groupBy("file", "ord")
         .agg(F.array_join(F.expr("transform(array_sort(collect_list(struct(start, piece))), p -> p.piece)"), "").alias("piece"), F.bool_and("apart").alias("apart"))

@@ -62,3 +62,10 @@ def test_no_array_of_objects(spark, tmp_path, text):
     (tmp_path / "a.json").write_text(text, encoding="utf-8")
     (tmp_path / "b.json").write_text('[{"job_title": "good"}]')
     assert [(r.file_name, r.job_title) for r in read_json_arrays(spark, str(tmp_path), RAW).collect()] == [("b.json", "good")]
+
+
+def test_files_are_read_for_their_records_once(spark, tmp_path):
+    """What is valid and what is returned come from the same stored records, not from further reads of the files."""
+    (tmp_path / "a.json").write_text(json.dumps(records(1, 20)))
+    df = read_json_arrays(spark, str(tmp_path), RAW)
+    assert df.count() == 20 and not any(f.startswith(tmp_path.as_uri()) or str(tmp_path) in f for f in df.inputFiles())
