@@ -75,20 +75,22 @@ def latest_of_batch(batch: DataFrame) -> DataFrame:
 
 
 def upsert_jobs(
-    jobs: DataFrame, batch: DataFrame, now: Column | None = None, top: int | None = None, newest: bool = False
+    jobs: DataFrame, batch: DataFrame, now: Column | None = None, top: int | None = None, newest: bool = False, latest: bool = False
 ) -> DataFrame:
     """New snapshot: batch rows replace rows of the same key, others are added.
 
     Ids and creation times of existing rows stay.  Keys compare null-safely.  The
     batch may be older than the table: the last writer wins, as in a plain upsert, unless ``newest``
     is set: then a row of the table stays that would win in one batch with the new one.
-    New ids follow ``top``, by default the largest id of ``jobs``.
+    New ids follow ``top``, by default the largest id of ``jobs``.  ``latest`` tells that the batch comes
+    from :func:`latest_of_batch`, so that it is not sorted by key again.
     The table is joined once in full and once by its key columns, and never staged;
     only the added rows are, while they get their ids.
     """
     jobs = evolve(jobs)
     stamp = F.current_timestamp() if now is None else now
-    incoming = latest_of_batch(batch).select(*[F.col(c).alias(f"_n_{c}") for c in JOB_COLUMNS], F.lit(True).alias("_incoming"))
+    rows = batch if latest else latest_of_batch(batch)
+    incoming = rows.select(*[F.col(c).alias(f"_n_{c}") for c in JOB_COLUMNS], F.lit(True).alias("_incoming"))
     same = [F.col(c).eqNullSafe(F.col(f"_n_{c}")) for c in JOB_KEY]
     replaced = F.coalesce("_incoming", F.lit(False))
     if newest:

@@ -17,7 +17,7 @@ from jobmarket.functions.industry import DERIVED, with_industry
 from jobmarket.operators.upsert import evolve, latest_of_batch, upsert_jobs
 from jobmarket.schemas import JOB_KEY, JOBS
 from jobmarket.sources.snapshots import latest_version, read_commit, update
-from jobmarket.sources.staging import removed, staged
+from jobmarket.sources.staging import no_rows, removed, staged
 
 #: buckets of a new table; about as many as its size in parts of 256 MB
 BUCKETS = 64
@@ -99,8 +99,8 @@ def import_jobs(batch: DataFrame, root: str, now: Column | None = None, newest:
         if not touched:
             return None
         old = read_buckets(spark, root, content, touched)
-        old = spark.createDataFrame([], JOBS) if old is None else old
-        table = _stored(upsert_jobs(old, incoming, now, content.get("top", 0), newest))
+        old = no_rows(spark, JOBS) if old is None else old
+        table = _stored(upsert_jobs(old, incoming, now, content.get("top", 0), newest, latest=True))
         new = _content(content, table.schema, _write(table, root, number), number)
         counts[1] = sum(new["rows"].values())
         return new

@@ -15,6 +15,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from jobmarket.sources.staging import no_rows
+
 #: how often a writer starts again before it gives up
 ATTEMPTS = 20
 
@@ -94,7 +96,7 @@ def read_parts(spark: SparkSession, root: str, kind: str, schema, without: str |
     parts = read_commit(spark, root)[1].get("parts", {})
     folders = [f"{root}/{part[kind]}" for name, part in parts.items() if name != without]
     if not folders:
-        return spark.createDataFrame([], schema)
+        return no_rows(spark, schema)
     return spark.read.option("basePath", f"{root}/data").schema(schema).parquet(*folders).drop("part")
 
 

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from jobmarket.session import shared_dir
 
 
+def no_rows(spark: SparkSession, schema) -> DataFrame:
+    """An empty table the planner knows to be empty, so that joins with it shuffle nothing."""
+    return spark.createDataFrame([], schema).where("false")
+
+
 def removed(df: DataFrame) -> None:
     """Delete the files behind a table made by :func:`staged` once its consumers are done."""
     spark = df.sparkSession

@@ -102,3 +102,33 @@ def test_older_columns(spark, tmp_path):
 def test_bucket_of_nulls(spark):
     df = spark.createDataFrame([(None, "a"), ("a", None), (None, None)], "x string, y string")
     assert all(0 <= r[0] < 7 for r in df.select(buckets.bucket(["x", "y"], 7)).collect())
+
+
+def test_import_finds_the_latest_rows_once(spark, tmp_path, monkeypatch):
+    from jobmarket.operators import upsert
+
+    monkeypatch.setattr(upsert, "latest_of_batch", None)  # import_jobs calls it by itself, no further step has to
+    root = str(tmp_path / "jobs")
+    assert import_jobs(batch(spark, row(1), row(1, "v", 2), row(2)), root) == (0, 2)
+    assert import_jobs(batch(spark, row(2, "v"), row(3), row(3)), root) == (2, 3)
+    assert {r.job_url for r in readers.read_jobs(spark, root).collect()} == {"v1", "v2", "u3"}
+
+
+def test_first_import_joins_nothing(spark, tmp_path, monkeypatch):
+    plans = []
+    write = buckets._write
+    monkeypatch.setattr(buckets, "_write", lambda df, *a: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, *a))
+    for first in (True, False):
+        import_jobs(batch(spark, row(1), row(2)), str(tmp_path / "jobs"))
+    assert "LeftOuter" not in plans[0] and "LeftOuter" in plans[1]
+
+
+def test_industry_puts_its_text_together_once(spark):
+    from jobmarket.functions.industry import DERIVED, derived_industry, with_industry
+
+    rows = [("Nurse", None, None), (None, "a SALES desk", " "), (None, None, None), ("x", "y", "Stated")]
+    jobs = spark.createDataFrame(rows, "job_title string, description string, industry string")
+    found = with_industry(jobs)
+    assert found.columns == [*jobs.columns, DERIVED]
+    assert found.collect() == jobs.withColumn(DERIVED, derived_industry()).collect()
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
