@@ -21,13 +21,17 @@ def _choose(number: str, *choices: str, default: str = "NULL") -> str:
     return f"CASE {number} {branches} ELSE {default} END"
 
 
-def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _orders(spark: SparkSession, sf_dir: str, status: bool = False) -> DataFrame:
+    """Orders with what belongs to them; with ``status`` joined by key to the statuses of all orders, as ``_status``."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     parts = part.agg(F.count("*")).scalar()
+    # titles and salaries cost far more per row than this shuffle; a number, or few rows would end in one task
+    orders = table(spark, sf_dir, "orders").repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
+    if status:
+        statuses = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS _key", "o_orderstatus AS _status")
+        orders = orders.join(statuses, F.col("o_orderkey") == F.col("_key"))
     return (
-        table(spark, sf_dir, "orders")
-        # titles and salaries cost far more per row than this shuffle; a number, or few rows would end in one task
-        .repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
+        orders
         .withColumn("p_partkey", F.col("o_orderkey") % parts)
         .join(part, "p_partkey")
         .join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
@@ -119,7 +123,7 @@ def raw_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _orders(spark, sf_dir).selectExpr(*[f"{e} AS {n}" for n, e in columns.items()])
 
 
-def jobs_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+def jobs_view(spark: SparkSession, sf_dir: str, status: bool = False) -> DataFrame:
     """Postings as the jobs table holds them, with blanks and nulls in every label."""
     shown, period = "k % 4 <> 0", "k % 11 <> 0"
     columns = {
@@ -150,18 +154,19 @@ def jobs_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         "job_url": "'https://jobs.example.com/' || k",
         "collected_at": "o_orderdate",
     }
-    return _orders(spark, sf_dir).selectExpr(*[f"{e} AS {n}" for n, e in columns.items()])
+    if status:
+        columns["_status"] = "_status"
+    return _orders(spark, sf_dir, status).selectExpr(*[f"{e} AS {n}" for n, e in columns.items()])
 
 
 def repeat_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean postings with few distinct keys, so that an upsert meets many repeats."""
-    jobs = jobs_view(spark, sf_dir)
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    # statuses meet the orders by their key before these become wide rows
     return (
-        jobs.join(orders, F.col("o_orderkey") + 1 == F.col("id"))
-        .withColumn("job_title", F.col("o_orderstatus"))
+        jobs_view(spark, sf_dir, status=True)
+        .withColumn("job_title", F.col("_status"))
         .withColumn("career_category", F.coalesce("employment_type", F.lit("Uncategorized")))
-        .drop("o_orderkey", "o_orderstatus", "id")
+        .drop("_status", "id")
     )
 
 
