@@ -107,9 +107,12 @@ def import_landing(
     first = staged(keep_first(rows, "dedup_key", order), "first")
     earlier = stored_keys(spark, state, first, part).withColumnRenamed("dedup_key", "_earlier")
     fresh = staged(first.join(earlier, F.col("dedup_key").eqNullSafe(F.col("_earlier")), "left_anti"), "fresh")
-    statistics = run_import(prepare(fresh), state, part, newest)
+    prepared = prepare(fresh)
+    clean = write_part(prepared, state.landings)  # counts once committed
+    written = spark.read.schema(prepared.schema).parquet(f"{state.landings}/{clean}")
+    statistics = run_import(written, state, part, newest, stored=True)
     folders = {
-        "clean": write_part(prepare(fresh), state.landings),
+        "clean": clean,
         "report": write_part(partial_report(rows, fresh), state.landings),
         "keys": write_part(fresh.select("dedup_key", _key_bucket().alias("bucket")), state.landings, by="bucket"),
     }
@@ -134,18 +137,22 @@ def uncategorized_table(spark: SparkSession, state: State) -> DataFrame:
     return uncategorized_titles(clean_table(spark, state))
 
 
-def run_import(clean: DataFrame, state: State, run_id: str | None = None, newest: bool = False) -> DataFrame:
+def run_import(clean: DataFrame, state: State, run_id: str | None = None, newest: bool = False, stored: bool = False) -> DataFrame:
     """Upsert the clean table into the jobs table; returns before, after, inserted.
 
     Rows without title or company, or with an amount too large to store, are added to the rejected
     table under ``run`` instead of failing the import.  An import repeated with the same ``run_id``
     replaces the rows it rejected before; without one every import has its own.  With ``newest`` a
-    row of the table is only replaced by one that would win over it in one batch.
+    row of the table is only replaced by one that would win over it in one batch.  A table that is not
+    ``stored`` is staged, so that it is worked out once.
     """
     run_id = run_id or f"import-{uuid.uuid4().hex}"
-    accepted, rejected = split_valid(clean)
+    batch = clean if stored else staged(clean, "batch")  # read for both tables
+    accepted, rejected = split_valid(batch)
     before, after = import_jobs(accepted, state.jobs, newest=newest)
     rejected.write.mode("overwrite").parquet(f"{state.rejected}/run={run_id}")
+    if not stored:
+        removed(batch)
     return clean.sparkSession.createDataFrame([(before, after, after - before)], "before long, after long, inserted long")
 
 

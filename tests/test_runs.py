@@ -230,3 +230,27 @@ def test_place_tables_keep_codes_as_text(spark, tmp_path):
     path = tmp_path / "p.csv"
     path.write_bytes("id,code,description\n1,012345000,Peñablanca\n".encode("cp1252"))
     assert tuple(readers.read_psgc(spark, str(path)).drop("ord").first()) == ("012345000", "Peñablanca")
+
+
+def test_an_import_works_its_batch_out_once(spark, lookup, tmp_path, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(title):
+        seen.add(1)
+        return title
+
+    rows = [{"job_title": "Nurse", "company": f"c{i}" if i else None, "job_url": f"u{i}", "source": "p", "collected_at": "2026-01-01T00:00:00+00:00"} for i in range(4)]
+    data = [tuple(r.get(f.name) for f in jm.schemas.RAW) for r in rows]
+    raw = spark.createDataFrame(data, jm.schemas.RAW).withColumns({"page": F.lit(1), "pos": F.lit(1), "run_ts": F.lit("1"), "landed_from": F.lit("p")})
+    clean = jm.prepare(jm.clean_records(raw, lookup))
+    counted = clean.withColumn("job_title", F.udf(count).asNondeterministic()("job_title"))
+    state = jm.State(str(tmp_path / "state"))
+    assert tuple(jm.run_import(counted, state, "a").first()) == (0, 3, 3)
+    assert spark.read.parquet(state.rejected).count() == 1 and seen.value == 4
+
+    prepared = []
+    prepare = plans_run.prepare
+    monkeypatch.setattr(plans_run, "prepare", lambda rows: prepared.append(rows) or prepare(rows))
+    other = jm.State(str(tmp_path / "other"))
+    assert tuple(jm.import_landing(raw, lookup, other, "1").first()) == (0, 3, 3)
+    assert len(prepared) == 1 and jm.clean_table(spark, other).count() == 4
