@@ -73,13 +73,14 @@ def by_bounded(df: DataFrame, small: DataFrame, key: str, salts: int = 16) -> Da
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b): one row (node, root) per node, root being the smallest node reachable.
 
-    Alternating large-star and small-star steps.  Minima are aggregated before the shuffle and
-    joined back, so a node with very many neighbours never lands in one task.  Every round is
-    written to the shared folder; the rounds before it are removed.
+    Alternating large-star and small-star steps, until every node points at a root.  Minima are aggregated
+    before the shuffle and joined back, so a node with very many neighbours never lands in one task.  Every
+    step is written to the shared folder, so its plan stays small whatever came before; the steps before it
+    are removed.
     """
     spark = edges.sparkSession
 
-    def stars(pairs: DataFrame, large: bool) -> DataFrame:
+    def star(pairs: DataFrame, large: bool) -> DataFrame:
         both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both.where("b < a") if not large else both
         least = near.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")).selectExpr("n", "least(n, m) AS m")
@@ -90,26 +91,33 @@ def components(edges: DataFrame) -> DataFrame:
             out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.selectExpr("n AS a", "m AS b"))
         return out.where("a <> b").distinct()
 
-    def state(pairs: DataFrame) -> tuple:
-        return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def done(pairs: DataFrame) -> bool:
+        """Every node has one pair to a smaller one, which has none."""
+        ends = pairs.selectExpr("a AS n", "1 AS down", "0 AS up").unionAll(pairs.selectExpr("b AS n", "0 AS down", "1 AS up"))
+        return ends.groupBy("n").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 OR down = 1 AND up = 1").isEmpty()
 
     path = work_path(spark)
     pairs = staged(edges.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct(), path)
-    seen = state(pairs)
-    while seen[0]:
-        new = work_path(spark)
-        nxt = staged(stars(stars(pairs, True), False), new)
-        now = state(nxt)
-        delete_path(spark, path)
-        pairs, path = nxt, new
-        if now == seen:
-            break
-        seen = now
+    while not done(pairs):
+        for large in (True, False):
+            new = work_path(spark)
+            pairs = staged(star(pairs, large), new)
+            delete_path(spark, path)
+            path = new
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(
         pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )
 
 
+def return_memory() -> None:
+    """Give the memory that this process has freed back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def returning(run):
     """A kernel over record batches, after whose end a Python worker returns the memory it has freed.
 
@@ -119,11 +127,7 @@ def returning(run):
     @wraps(run)
     def returned(batches):
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-        if trim:
-            trim(0)
+        return_memory()
 
     return returned
 

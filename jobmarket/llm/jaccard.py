@@ -161,7 +161,8 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     sets = staged(sets.groupBy("node").agg(F.first("found").alias("found")))
     close = 5 * F.least("x.size", "y.size") >= 4 * F.greatest("x.size", "y.size")
     pair = (F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-    found, members = None, shared.withColumn("root", F.col("node"))
+    # links found so far: of a connected group only those to its root
+    found, members, path = None, shared.withColumn("root", F.col("node")), None
     for turn in range(ROUNDS + 1):
         y = members
         if 0 < turn < ROUNDS:
@@ -177,15 +178,19 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             apart = (F.col("x.root") < F.col("y.root")) & (same <= SKETCH - AGREE) & ~F.arrays_overlap(*earlier)
         if turn:
             met = y.alias("y").join(x.alias("x"), (F.col("x.key") == F.col("y.key")) & apart & close)
-        new = _verified(met.select(*pair).distinct() if turn else near, sets)
-        found = staged(new if found is None else found.unionAll(new))
-        if turn < ROUNDS:
-            roots = components(found)
-            members = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        new = staged(_verified(met.select(*pair).distinct() if turn else near, sets))
+        if turn == ROUNDS:
+            found = found.unionAll(new)
+        elif not turn or not new.isEmpty():
+            roots = components(new if found is None else found.unionAll(new))
+            found = roots.where("node <> root").selectExpr("root AS a", "node AS b")
+            connected = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
             # keys whose members are all connected are done
-            open_ = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-            path = work_path(spark)
-            members = staged(members.join(open_, "key"), path)
+            open_ = connected.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+            previous, path = path, work_path(spark)
+            members = staged(connected.join(open_, "key"), path)
+            if previous:
+                delete_path(spark, previous)
     delete_path(spark, path)
     return found
 

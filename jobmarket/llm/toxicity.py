@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobmarket.llm.common import returning, table, text_or_empty
+from jobmarket.llm.common import return_memory, returning, table, text_or_empty
 
 #: labelled documents used for training: at most so many of each label, chosen by a hash of their id
 TRAIN_DOCS = 2000
@@ -257,7 +257,10 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> tuple[np
     marks = rows["toxic"].to_pylist()
     if len(set(marks)) < 2:
         return None
-    return train((text.as_py() for text in rows["text"]), marks)
+    model = train((text.as_py() for text in rows["text"]), marks)
+    del rows
+    return_memory()  # the driver holds it for all later stages otherwise
+    return model
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, threshold: float = THRESHOLD) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from jobmarket.llm import bpe, contexttree, mixing, orderhash, sharding, simhash, substrings, toxicity
+from jobmarket.llm import bpe, common, contexttree, mixing, orderhash, sharding, simhash, substrings, toxicity
 
 SF = "/root/testdata/sf0.001"
 PASSAGE = " ".join(f"w{i}" for i in range(40))
@@ -160,6 +160,25 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_take_small_steps(spark, monkeypatch):
+    """Each star is a step of its own, as the driver holds whole plans; pairs that are stars need no step."""
+    stored = []
+
+    def counted(df, path=None, staged=common.staged):
+        stored.append(df._jdf.queryExecution().executedPlan().toString().count(" Exchange"))
+        return staged(df, path)
+
+    monkeypatch.setattr(common, "staged", counted)
+    components = common.components
+    chain = [(i, i + 1) for i in range(20)]
+    assert {r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()} == {0}
+    assert max(stored) <= 5
+    stored.clear()
+    stars = [(i % 3, i) for i in range(3, 40)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(stars, "a long, b long")).collect()}
+    assert got == {i: i % 3 for i in range(40)} and len(stored) == 1
+
+
 # ------------------------------------------------------------------- order MinHash
 
 
