@@ -10,9 +10,10 @@ Counts are gathered over all training texts, aggregated before the shuffle, and
 depth; weights are then passed down again.  A bit is scored by the deepest of its contexts that training
 met: where the deeper one was never met, the rest of the weight goes to that deepest one's estimate.
 
-The whole tree stays in the shared folder.  The most frequent contexts, MAX_NODES of them, are sent to the
-scoring tasks as a cache; bytes all of whose bits have their longest context in it are scored there.
-All other bytes are joined, once per distinct byte with its context, to the levels of the tree.
+The whole tree stays in the shared folder.  The most frequent of the longest contexts, MAX_NODES at most, become
+a cache for the scoring tasks: bytes all of whose bits have their longest context in it are looked up there, as one
+number per byte with its context.  All other bytes are joined, once per distinct byte with its context, to the levels
+of the tree; a tree of at most MAX_NODES contexts is sent whole instead.
 
 Texts are lower-cased (A-Z) and end with an end symbol, a byte that UTF-8 never has; before the
 text stand end symbols.
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobmarket.llm.common import delete_path, staged, table, text_or_empty, work_path
+from jobmarket.llm.common import delete_path, return_memory, staged, table, text_or_empty, work_path
 from jobmarket.llm.substrings import Words
 
 DEPTH = 5
@@ -174,7 +175,7 @@ def context_tree(docs: DataFrame, depth: int = DEPTH) -> tuple[list[DataFrame],
 
 
 def frequent_nodes(levels: list[DataFrame], most: int | None = None) -> tuple[np.ndarray, np.ndarray, bool]:
-    """(keys, probabilities) in key order of the contexts with the most occurrences, and whether these are all.
+    """(keys, probabilities) in key order of all contexts, or of the longest with the most occurrences; and whether these are all.
 
     At most ``most`` (MAX_NODES) of them are taken, from a power of two of occurrences on.  Keys pack depth, context and node.
     Probabilities stay doubles: as floats those of frequent contexts would round to 1, and the other bit would score -inf.
@@ -183,17 +184,19 @@ def frequent_nodes(levels: list[DataFrame], most: int | None = None) -> tuple[np
     parts = [
         level.select(F.shiftleft("ctx", 8).bitwiseOR(F.col("node")).bitwiseOR(F.lit(d << 56)).alias("key"), "p", "n") for d, level in enumerate(levels)
     ]
-    tree = reduce(DataFrame.unionAll, parts)
-    sizes = tree.groupBy(F.floor(F.log2("n")).cast("int").alias("size")).count().collect()
-    least, kept = 64, 0
+    tree, deepest = reduce(DataFrame.unionAll, parts), F.col("key") >= F.lit((len(levels) - 1) << 56)
+    sizes = tree.groupBy(F.floor(F.log2("n")).cast("int").alias("size")).agg(F.count("*").alias("all"), F.count_if(deepest).alias("longest")).collect()
+    least, kept, whole = 64, 0, sum(row["all"] for row in sizes) <= most
     for row in sorted(sizes, key=lambda r: -r["size"]):
-        if kept + row["count"] > most:
+        if not whole and kept + row["longest"] > most:
             break
-        least, kept = row["size"], kept + row["count"]
-    rows = tree.where(F.col("n") >= F.lit(1 << least if least < 63 else (1 << 62))).select("key", "p").toArrow()
+        least, kept = row["size"], kept + row["longest"]
+    wanted = tree if whole else parts[-1].where(F.col("n") >= F.lit(1 << least if least < 63 else (1 << 62)))
+    rows = wanted.select("key", "p").toArrow()
     keys, values = rows["key"].to_numpy(), rows["p"].to_numpy()
+    del rows
     order = np.argsort(keys)
-    return keys[order], values[order], kept == sum(row["count"] for row in sizes)
+    return keys[order], values[order], whole
 
 
 def gram_scores(wanted: DataFrame, levels: list[DataFrame]) -> DataFrame:
@@ -224,26 +227,54 @@ def gram_scores(wanted: DataFrame, levels: list[DataFrame]) -> DataFrame:
 
 
 class Model:
-    """Looks probabilities up in the cache of frequent contexts; ``whole`` tells that it is the whole tree."""
+    """Scores of the grams in the cache of frequent contexts; ``whole`` tells that it is the whole tree."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray, whole: bool = True, depth: int = DEPTH) -> None:
-        self.keys, self.values, self.whole, self.depth = keys, values, whole, depth
-        self.depths = np.searchsorted(keys, np.arange(depth + 2, dtype=np.int64) << 56)
+        self.whole, self.depth = whole, depth
+        first = np.searchsorted(keys, depth << 56)
+        self.grams, self.scores = self._deepest(keys[first:] - (depth << 56), values[first:])
+        # shorter contexts only count where the longest are known to be missing
+        self.keys, self.values = (keys, values) if whole else (keys[:0], values[:0])
+        self.depths = np.searchsorted(self.keys, np.arange(depth + 2, dtype=np.int64) << 56)
+
+    @staticmethod
+    def _deepest(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(grams, scores), in order of grams: those all of whose bits have their longest context in the cache.
+
+        A node is met as often as those below it, so the nodes above a kept one are kept as well.
+        """
+        leaves = np.flatnonzero(keys & 128)
+        contexts, leaf, total = keys[leaves] & ~255, keys[leaves] & 255, np.zeros(len(leaves))
+        for i in range(7):
+            p = values[np.searchsorted(keys, contexts | (leaf >> (7 - i)))]
+            total += np.log10(np.where((leaf >> (6 - i)) & 1, p, 1 - p))
+        p = values[leaves]
+        grams = (contexts | ((leaf & 127) << 1))[:, None] + np.arange(2)
+        return grams.ravel(), (total[:, None] + np.log10(np.stack((1 - p, p), axis=1))).ravel()
 
     def code_lengths(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log10 probability of the last byte of each gram after the others, and whether that needs no more of the tree.
 
         Grams are sorted, which keeps lookups near each other.
         """
-        total, exact = np.zeros(len(grams)), np.ones(len(grams), bool)
-        contexts, byte = grams >> 8, grams & 255
+        total, exact = np.zeros(len(grams)), np.zeros(len(grams), bool)
+        if len(self.grams):
+            at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+            exact = self.grams[at] == grams
+            total = np.where(exact, self.scores[at], 0.0)
+        if self.whole and not exact.all():
+            total[~exact] = self._walked(grams[~exact])
+            exact[:] = True
+        return total, exact
+
+    def _walked(self, grams: np.ndarray) -> np.ndarray:
+        """log10 probabilities bit by bit, each by its longest context in the whole tree."""
+        total, contexts, byte = np.zeros(len(grams)), grams >> 8, grams & 255
         for i in range(8):
             node, bit = (byte >> (8 - i)) | (1 << i), (byte >> (7 - i)) & 1
             p, open_ = np.full(len(grams), 0.5), np.arange(len(grams))
             for depth in range(self.depth, -1, -1):
                 keys = self.keys[self.depths[depth] : self.depths[depth + 1]]
-                if not len(keys) and depth == self.depth and not self.whole:
-                    exact[:] = False
                 if not len(open_) or not len(keys):
                     continue
                 wanted = ((contexts[open_] & ((1 << 8 * depth) - 1)) << 8) | node[open_] | (depth << 56)
@@ -251,10 +282,8 @@ class Model:
                 found = keys[at] == wanted
                 p[open_[found]] = self.values[self.depths[depth] :][at[found]]
                 open_ = open_[~found]
-                if depth == self.depth and not self.whole:
-                    exact[open_] = False
             total += np.log10(np.where(bit == 1, p, 1 - p))
-        return total, exact
+        return total
 
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """log10 probability of what the cache tells of each text and its end, and the rest: (text, gram, how often)."""
@@ -306,7 +335,7 @@ def _scored(shared, words: np.ndarray, logs: np.ndarray):
     """Kernel over (doc_id, mark, held_out, text): model score, tokens, what the frequent words add, and grams left to score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(*shared.value)
+        model = shared.value
         for batch in batches:
             for first, texts in _groups(batch, GROUP_BYTES):
                 score, (owner, gram, often) = model.score(texts)
@@ -340,7 +369,8 @@ def score(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), held_out().alias("held_out"), text.alias("text"))
     training = rows.where(~F.col("held_out"))
     levels, paths = context_tree(training)
-    shared = spark.sparkContext.broadcast(frequent_nodes(levels))  # at most MAX_NODES numbers
+    shared = spark.sparkContext.broadcast(Model(*frequent_nodes(levels)))  # of at most MAX_NODES contexts
+    return_memory()
     ends = training.count()
     counts = staged(word_counts(training))
     whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()

@@ -479,6 +479,22 @@ def test_cache_keeps_the_most_frequent(spark):
     assert [(len(keys), whole) for keys, _, whole in found] == [(6, True), (4, False), (4, False), (2, False), (2, False), (0, False)]
 
 
+def test_cached_bytes_take_one_lookup(spark, monkeypatch):
+    """A byte whose longest contexts are all cached costs one search, and scores as in the whole tree."""
+    import numpy as np
+
+    levels, _ = contexttree.context_tree(spark.createDataFrame([("abracadabra " * 9 + "xyz",)], "text string"), 2)
+    whole, cut = (contexttree.Model(*contexttree.frequent_nodes(levels, most), 2) for most in (None, 90))
+    grams = np.unique(contexttree.grams([b"abracadabra xyzq"], 2)[0])
+    want, calls, search = whole.code_lengths(grams)[0], [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda *args: (calls.append(1), search(*args))[1])
+    got, exact = cut.code_lengths(grams)
+    assert whole.whole and not cut.whole and len(calls) <= 1
+    assert 5 < exact.sum() < len(grams) and got[exact].tolist() == want[exact].tolist()
+    joined = {r.gram: r.score for r in contexttree.gram_scores(spark.createDataFrame([(int(g),) for g in grams], "gram long"), levels).collect()}
+    assert all(abs(joined[g] - w) < 1e-9 for g, w in zip(grams.tolist(), want))
+
+
 @pytest.mark.parametrize("most", [0, 300, 20_000])
 def test_scores_do_not_depend_on_the_cache(spark, edges, documents, monkeypatch, most):
     """Contexts outside of the cache count in full."""
